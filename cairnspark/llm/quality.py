@@ -163,7 +163,8 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: flo
 
 
 def accepted(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows that are kept, as they are. Features are computed twice rather than the rows stored or joined."""
-    rows = features(df, F.struct(*[F.col(c) for c in df.columns]), F.col(text))
+    """The rows that are kept, as they are. Features are computed twice rather than the rows stored or joined. A
+    condition on the row number keeps the optimiser from copying the features' expressions into the filter."""
+    rows = features(df, F.struct(*[F.col(c) for c in df.columns]), F.col(text)).withColumn("row", F.monotonically_increasing_id())
     quality = estimate(features(df, F.lit(0), F.col(text))).posterior(F.col("votes"))
-    return rows.where(~F.col("base_failed") & (quality >= threshold)).select("key.*")
+    return rows.where((F.col("row") >= 0) & ~F.col("base_failed") & (quality >= threshold)).select("key.*")

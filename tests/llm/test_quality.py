@@ -50,7 +50,7 @@ def test_verdict_follows_labels(spark):
 def test_estimates_recover_accuracies():
     """Counts made from known classes give their shares and votes back."""
     shares = [0.7, 0.2, 0.1]
-    against = [[0.02, 0.05, 0.03], [0.9, 0.1, 0.2], [0.1, 0.95, 0.3]]
+    against = [[0.002, 0.004, 0.003], [0.9, 0.1, 0.2], [0.1, 0.95, 0.3]]
     patterns = {}
     for v in range(8):
         votes = tuple(0 if v >> i & 1 else 2 for i in range(3))
@@ -61,7 +61,7 @@ def test_estimates_recover_accuracies():
             p += s
         patterns[votes] = round(1e6 * p)
     e = quality.expectation_maximisation(patterns, 3)
-    assert abs(e.shares[0] - 0.7) < 0.05
+    assert abs(e.shares[0] - 0.7) < 0.02
     assert all(e.likelihoods(v)[0] < 0.5 for v in patterns if 0 in v[:2]) and e.likelihoods((2, 2, 2))[0] > 0.95
     assert all(a > 0.9 for a, _ in e.accuracies())
 
