@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard, language, packing, quality, secrets, token_counts
+from . import ann, bpe, jaccard, language, packing, quality, secrets, token_counts
 from .common import table
 
 
@@ -39,7 +40,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op3_quality_rules, op4_language_id, op5_ngram_jaccard, op6_token_counts, op7_packing, op8_secret_scan)}
+def op10_inner_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op3_quality_rules, op4_language_id, op5_ngram_jaccard, op6_token_counts, op7_packing, op8_secret_scan, op10_inner_product_search)}
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
