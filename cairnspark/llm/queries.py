@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, language, packing, quality, secrets, token_counts
+from . import ann, bpe, chat, jaccard, language, packing, quality, secrets, sharding, token_counts
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.VOCABULARY))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -40,11 +44,27 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op10_inner_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op3_quality_rules, op4_language_id, op5_ngram_jaccard, op6_token_counts, op7_packing, op8_secret_scan, op10_inner_product_search)}
+_ALL = (
+    op1_bpe_round_trip,
+    op2_chat_formatting,
+    op3_quality_rules,
+    op4_language_id,
+    op5_ngram_jaccard,
+    op6_token_counts,
+    op7_packing,
+    op8_secret_scan,
+    op9_sharding,
+    op10_inner_product_search,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": chat.SQL}
