@@ -24,7 +24,7 @@ def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     step, seen = 0, None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _hung(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _hung(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = _hung(large)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         step += 1

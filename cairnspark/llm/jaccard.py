@@ -36,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, shared_folder, written
+from .common import remove, shared_folder, small_batches, written
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
 #: Ratio of a band's size limits; documents of a tile; entries of a worker's memo of word hashes.
-RATIO, TILE, MEMO = 1.5, 512, 1_000_000
+RATIO, TILE, MEMO = 1.5, 512, 100_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
 
@@ -236,7 +236,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
                     if pair not in seen:
                         seen.add(pair)
                         out.append(pair)
-            if len(seen) > 1_000_000:
+            if len(seen) > 100_000:
                 seen.clear()
             if out:
                 yield _table({"a": (pa.int64(), [p[0] for p in out]), "b": (pa.int64(), [p[1] for p in out])})
@@ -270,7 +270,11 @@ def _tidy(df: DataFrame) -> None:
 
 def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(id, n, component) of (id, text)."""
-    folder = shared_folder(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _groups(docs, percent, size, shared_folder(docs.sparkSession))
+
+
+def _groups(docs: DataFrame, percent: int, size: int, folder: str) -> DataFrame:
     made = summarise(docs, percent, size)
     made.write.parquet(f"{folder}/all")
     stored = docs.sparkSession.read.schema(made.schema).parquet(f"{folder}/all")
