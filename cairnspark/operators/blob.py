@@ -96,7 +96,7 @@ def read(refs: DataFrame, store: DataFrame, key: str, profile: str = "builtin")
     got = refs.select(key, "blob_id", "ord", "offset", "chunk_id", "ciphertext_hash").join(store, "ciphertext_hash", "left")
     got = got.withColumn("plain", p.open(F.col("stored"), F.col("blob_id"), F.col("chunk_id")))
     fault = F.when(F.col("stored").isNull(), "missing chunk").when(p.hash(F.col("stored")) != F.col("ciphertext_hash"), "stored bytes differ").when(F.col("plain").isNull(), "cannot be opened").when(p.hash(F.col("plain")) != F.col("chunk_id"), "content differs")
-    got = got.withColumn("fault", fault).withColumn("plain", F.when(F.col("fault").isNotNull(), F.raise_error("fault").cast("binary")).otherwise(F.col("plain")))
+    got = got.withColumn("fault", fault).withColumn("plain", F.when(F.col("fault").isNotNull(), F.raise_error(F.col("fault")).cast("binary")).otherwise(F.col("plain")))
     return got.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("offset", "plain"))).alias("l")).select(key, F.aggregate(F.transform("l", lambda x: x["plain"]), F.lit(b""), lambda a, x: F.concat(a, x)).alias("data"))
 
 
