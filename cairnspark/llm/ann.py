@@ -30,8 +30,9 @@ CENTRES = 16
 SAMPLE = 4096
 #: Width of a subspace, weight of the parallel error, rounds of fitting.
 WIDTH, PARALLEL, ROUNDS = 2, 4.0, 8
-#: Queries of a block, rows of a scanned block, candidates of a query that are reranked.
-QUERIES, ROWS, KEEP = 1024, 2048, 192
+#: Queries of a block, rows of a task's share (at least three shares), rows of a scanned block, candidates of a query
+#: that are reranked in each.
+QUERIES, SHARE, ROWS, KEEP = 1024, 4096, 2048, 192
 
 
 @dataclass(frozen=True)
@@ -162,7 +163,8 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
     d = book.dimension
     ids = ids.where(F.size("x") == d)
     asked = ids.where("q").select("id", "x")
-    blocks = max(1, -(-asked.count() // QUERIES))
+    counts = ids.agg(F.count_if("q").alias("asked"), F.count("*").alias("rows")).first()
+    blocks = max(1, -(-counts["asked"] // QUERIES))
     held = spark.sparkContext.broadcast(book)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +218,7 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
         yield from done()
 
     # A unit is a block of queries and a share of the rows: queries go to all shares, rows to all blocks.
-    shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    shares = max(3, -(-counts["rows"] // SHARE))
     to_all = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block, share = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)), F.pmod(F.xxhash64("id"), F.lit(shares))
     left = asked.select(block.alias("block"), to_all(shares).alias("share"), F.lit(0).alias("kind"), "id", "x")
