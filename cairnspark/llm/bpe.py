@@ -36,7 +36,7 @@ from .common import one_thread
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of a worker's word memo; a full memo is emptied, so that memory is bounded on any text.
-MEMO = 400_000
+MEMO = 600_000
 #: Decoded at once, so that one long text does not need an index of all its bytes.
 DECODE_BLOCK = 1 << 16
 #: Text that the rules below reproduce: Latin letters whose classes and lower-case forms are one code point each.
@@ -192,12 +192,9 @@ class Encoder:
         return struct.pack(f"<{len(ids)}i", *ids)
 
     def chunk(self, word: str) -> bytes:
-        """Ids, as little-endian 32-bit integers, of text without white space at which pre-tokens could part."""
-        if _UNUSUAL.search(word):
-            found = [p.encode() for p in self._library(word)]
-            return b"".join(map(self._piece, found))
+        """Ids, as little-endian 32-bit integers, of a lower-cased usual word. White space parts pre-tokens in any case."""
         known, out = self.pieces, []
-        for p in self.piece.findall(word.lower()):
+        for p in self.piece.findall(word):
             ids = known.get(p)
             if ids is None:
                 if len(known) >= MEMO:
@@ -227,7 +224,7 @@ class Encoder:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        return b"".join(map(memo.__getitem__, text.split()))
+        return b"".join(map(memo.__getitem__, text.lower().split()))
 
 
 class _Memo(dict):
