@@ -128,3 +128,54 @@ def parse_stored_chunk(raw: Column) -> Column:
     """struct(nonce, ciphertext, tag, plaintext_size) of the raw form; null under 40 bytes."""
     n = F.octet_length(raw)
     return F.when(n >= 40, F.struct(F.substring(raw, 1, 24).alias("nonce"), F.substring(raw, F.lit(25), n - 40).alias("ciphertext"), F.substring(raw, n - 15, F.lit(16)).alias("tag"), (n - 40).cast("bigint").alias("plaintext_size")))
+
+
+# Decoding of fixed layouts. Bytes that are missing give null, and so do bytes that are left over.
+
+
+def _whole(v: Column, width: int, value: Column) -> Column:
+    return F.when(F.octet_length(v) == width, value)
+
+
+def _part(v: Column, at: int, width: int) -> Column:
+    return F.substring(v, at + 1, width)
+
+
+def parse_commitment(v: Column, at: int = 0) -> Column:
+    return F.struct(_part(v, at, 32).alias("merkle_root"), read_le(v, at + 32, 8).alias("size"), read_le(v, at + 40, 4).alias("block_size"), read_le(v, at + 44, 4).alias("block_count"))
+
+
+def parse_chunk_ref(v: Column, at: int = 0) -> Column:
+    value = F.struct(_part(v, at, 32).alias("chunk_id"), _part(v, at + 32, 32).alias("ciphertext_hash"), parse_commitment(v, at + 64).alias("commitment"), read_le(v, at + 112, 8).alias("offset"), read_le(v, at + 120, 4).alias("size"))
+    return _whole(v, at + 124, value)
+
+
+def parse_internal(v: Column) -> Column:
+    """array<binary> of children of an encoded internal node."""
+    n = read_le(v, 4, 4)
+    good = (read_le(v, 0, 4) == 1) & (F.octet_length(v) == 8 + 32 * n)
+    # as many as there are bytes for, whatever count a broken node claims
+    there = F.greatest(F.floor((F.octet_length(v) - 8) / 32), F.lit(1).cast("bigint"))
+    children = F.transform(F.sequence(F.lit(0).cast("bigint"), there - 1), lambda i: F.substring(v, (9 + 32 * i).cast("int"), F.lit(32)))
+    return F.when(good, F.when(n == 0, F.array().cast("array<binary>")).otherwise(children))
+
+
+def parse_node(v: Column) -> Column:
+    """struct(kind, chunk, children) of an encoded tree node; null for an unknown kind or a wrong length."""
+    kind = read_le(v, 0, 4).cast("int")
+    return F.when(kind.isin(0, 1), F.struct(kind.alias("kind"), F.when(kind == 0, parse_chunk_ref(v, 4)).alias("chunk"), F.when(kind == 1, parse_internal(v)).alias("children")))
+
+
+def parse_manifest_body(v: Column) -> Column:
+    origin = F.struct(_part(v, 92, 32).alias("public_key"), _part(v, 124, 32).alias("node_id"))
+    value = F.struct(read_le(v, 0, 4).cast("int").alias("crypto_version"), _part(v, 4, 32).alias("object_id"), read_le(v, 36, 8).alias("revision"), _part(v, 44, 32).alias("content_root"), read_le(v, 76, 8).alias("created_at"), read_le(v, 84, 8).alias("modified_at"), origin.alias("origin"))
+    return F.when(read_le(v, 0, 4) == 1, _whole(v, 156, value))
+
+
+def parse_lease_body(v: Column) -> Column:
+    value = F.struct(_part(v, 0, 32).alias("chunk_id"), _part(v, 32, 32).alias("ciphertext_hash"), parse_commitment(v, 64).alias("commitment"), _part(v, 112, 32).alias("holder"), _part(v, 144, 32).alias("issuer"), read_le(v, 176, 8).alias("issued_at"), read_le(v, 184, 8).alias("expires_at"))
+    return _whole(v, 192, value)
+
+
+def parse_blob_metadata(v: Column) -> Column:
+    return _whole(v, 44, F.struct(_part(v, 0, 32).alias("root"), read_le(v, 32, 8).alias("size"), read_le(v, 40, 4).cast("int").alias("chunk_count")))

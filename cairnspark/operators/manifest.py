@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import CHUNK_KEY, CHUNK_KEY_BASE, CHUNK_NONCE, MANIFEST_KEY, MANIFEST_NONCE
+from ..functions import crypto
 from ..functions.crypto import signature_valid
-from ..functions.encoding import manifest_body
+from ..functions.encoding import manifest_body, parse_manifest_body
 from ..functions.ids import next_revision, sha256_id
 
 
@@ -100,3 +102,23 @@ def changed_chunks(chunks: DataFrame) -> DataFrame:
     both = now.withColumn("is", F.lit(True)).join(before, ["object", "revision", "chunk"], "full_outer")
     change = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "removed").otherwise("retained")
     return both.select("object", "revision", "chunk", change.alias("change"))
+
+
+def encrypted(secret: Column, object_id: Column, revision: Column, body: Column, signature: Column) -> Column:
+    """struct(nonce, ciphertext) of an encoded manifest under an object's capability secret."""
+    key = crypto.derived(secret, object_id, MANIFEST_KEY, 32)
+    nonce = crypto.derived(secret, crypto.revision_salt(object_id, revision), MANIFEST_NONCE, 24)
+    return F.struct(nonce.alias("nonce"), crypto.encrypted(key, nonce, F.concat(manifest_body(body), signature), crypto.manifest_aad(object_id)).alias("ciphertext"))
+
+
+def decrypted(secret: Column, object_id: Column, stored: Column) -> Column:
+    """struct(body, signature) of a manifest; null if it does not open."""
+    plain = crypto.decrypted(crypto.derived(secret, object_id, MANIFEST_KEY, 32), stored["nonce"], stored["ciphertext"], crypto.manifest_aad(object_id))
+    return F.when(plain.isNotNull(), F.struct(parse_manifest_body(F.substring(plain, 1, 156)).alias("body"), F.substring(plain, 157, 64).alias("signature")))
+
+
+def object_chunk(secret: Column, object_id: Column, chunk_id: Column, plaintext: Column) -> Column:
+    """The stored form of a mutable object's chunk: nonce, ciphertext and tag under the object's own keys."""
+    base = crypto.derived(secret, object_id, CHUNK_KEY_BASE, 32)
+    nonce = crypto.derived(base, chunk_id, CHUNK_NONCE, 24)
+    return F.concat(nonce, crypto.encrypted(crypto.derived(base, chunk_id, CHUNK_KEY, 32), nonce, plaintext, crypto.chunk_aad(object_id, chunk_id)))
