@@ -33,7 +33,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import remove, shared_folder, small_batches, written
@@ -282,9 +282,13 @@ def _groups(docs: DataFrame, percent: int, size: int, folder: str) -> DataFrame:
     belongs = written(stored.select("id", "n", "digest").join(classes, ["digest", "n"], "left").select("id", "n", F.coalesce("first", "id").alias("first")), f"{folder}/belongs")
     copies = belongs.where("first <> id").select("id").distinct()
 
+    # Keys of two documents or more, told by a row's neighbours in order: one shuffle, nothing of a group is held. Stored
+    # before copies are taken out, else the optimiser would shuffle whole arrays of keys for that.
     rows = stored.where("id IS NOT NULL").select("id", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
-    members = written(rows.join(shared, "key").join(copies, "id", "left_anti").select("key", "id"), f"{folder}/members")
+    by_key = Window.partitionBy("key").orderBy("id")
+    beside = rows.withColumn("low", F.lag("id").over(by_key)).withColumn("high", F.lead("id").over(by_key))
+    shared = written(beside.where((F.col("low") != F.col("id")) | (F.col("high") != F.col("id"))).select("key", "id"), f"{folder}/shared")
+    members = written(shared.join(copies, "id", "left_anti").select("key", "id"), f"{folder}/members")
     sizes = written(stored.where("id IS NOT NULL").select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi"), f"{folder}/sizes")
     remove(docs.sparkSession, f"{folder}/all")
     _tidy(docs)
