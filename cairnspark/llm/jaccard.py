@@ -16,7 +16,8 @@ prefix (the least hashes, of which two similar sets share one). No link is lost.
 Candidates are filtered by parity sketches: bit strings whose Hamming distance never exceeds the symmetric difference,
 as each differing element flips one bit. What passes is verified on the sets, made again from the whole texts.
 
-Groups of equal sets count as one. Within a key, documents are first compared with the least and the greatest one
+Groups of equal sets count as one. The rows of a key, two numbers each, are sorted and read in order by one task. Within a
+key, documents are first compared with the least and the greatest one
 only; components of those links are found, and then just documents of different components, in tiles of bounded size
 that emit only what passes the filter. So large groups of near copies are joined without making all their pairs.
 
