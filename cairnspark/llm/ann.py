@@ -6,8 +6,9 @@ than the part across it: only the parallel error changes the scores of the queri
 codebook is fitted on a bounded sample (``SAMPLE`` rows); every row is coded and scanned.
 
 The stated queries meet all rows in blocks. Queries are dealt into blocks of bounded size, each task of a block scans
-the codes of its share of rows through look-up tables (two subspaces a table), keeps the best ``KEEP`` of each query
-and reranks those with exact inner products in double precision; the tasks' best are merged.
+the codes of its share of rows through look-up tables (two subspaces a table) and reranks the best ``KEEP`` of each
+query with exact inner products in double precision. Every other row whose code leaves room for a score as high as the
+k-th exact one so far is then reranked too, however many they are, so the result is exact. The tasks' best are merged.
 
 Rows whose vector is null, zero, of another width than most of the sample, or has a null or non-finite component take
 no part; rows without an id neither. Of equal vectors only the least ids can be among the nearest, so a task keeps
@@ -31,8 +32,11 @@ SAMPLE = 4096
 #: Width of a subspace, weight of the parallel error, rounds of fitting.
 WIDTH, PARALLEL, ROUNDS = 2, 4.0, 8
 #: Queries of a block, rows of a task's share (at least three shares), rows of a scanned block, candidates of a query
-#: that are reranked in each.
+#: that are reranked first in each.
 QUERIES, SHARE, ROWS, KEEP = 1024, 4096, 2048, 192
+#: Queries whose other candidates are found at once, pairs that are reranked at once, rounding of a scan (in products of
+#: lengths; the sums are of single precision).
+STEP, PAIRS, ROUNDING = 128, 1 << 16, 1e-5
 
 
 @dataclass(frozen=True)
@@ -67,6 +71,10 @@ class Codebook:
                 total, along[:, s] = total - along[:, s] + now, now
         return codes.astype(np.uint8)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        return self.centres[np.arange(len(self.centres)), codes].reshape(len(codes), -1)[:, : self.dimension].astype(np.float64)
+
 
 def fit(x: np.ndarray, width: int = WIDTH, parallel: float = PARALLEL, seed: int = 7) -> Codebook:
     """Alternates coding with the least-squares centres of the anisotropic loss, one subspace after another."""
@@ -131,6 +139,43 @@ def _candidates(approx: np.ndarray, keep: int) -> np.ndarray:
     return np.argpartition(-(ordered * n + (n - 1 - np.arange(n))), keep - 1, axis=1)[:, :keep]
 
 
+class Reach:
+    """Which rows can reach a score, given their approximate ones.
+
+    Let t be a query's component along a row x, so that its score is t |x|. The residual of the code has a component p
+    along x and a length b across it; hence the approximate score is at least t (|x| - p) - b sqrt(|q|^2 - t^2), which
+    is convex in t. A row whose approximate score is below the least of that over all t from the asked score on cannot
+    have it."""
+
+    def __init__(self, book: Codebook, x: np.ndarray, codes: np.ndarray):
+        back = book.decode(codes)
+        self.size = np.linalg.norm(x, axis=1)
+        unit = x / self.size[:, None]
+        residual = x - back
+        p = (residual * unit).sum(1)
+        self.along, self.across = self.size - p, np.linalg.norm(residual - p[:, None] * unit, axis=1)
+        self.turn = self.along / np.hypot(self.along, self.across)
+        self.rounding = ROUNDING * (self.size + np.linalg.norm(back, axis=1))
+
+    def __call__(self, q: np.ndarray, approx: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """(queries, rows); true also where a number is not finite."""
+        length = np.linalg.norm(q, axis=1)[:, None]
+        t = np.minimum(np.maximum(-length * self.turn, least[:, None] / self.size), length)
+        bound = t * self.along - self.across * np.sqrt(np.maximum(length**2 - t**2, 0))
+        return ~(approx < bound - length * self.rounding)
+
+
+def _best_of_pairs(at: np.ndarray, score: np.ndarray, ids: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each of ``n`` queries from (query, score, id); what is missing scores minus infinity."""
+    order = np.lexsort((ids, -score, at))
+    at, score, ids = at[order], score[order], ids[order]
+    nth = np.arange(len(at)) - np.searchsorted(at, at)
+    top = nth < k
+    out = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+    out[0][at[top], nth[top]], out[1][at[top], nth[top]] = score[top], ids[top]
+    return out
+
+
 def _first_of_equals(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Rows by rising id, at most ``k`` of equal vectors."""
     order = np.argsort(ids, kind="stable")
@@ -176,7 +221,7 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
             nonlocal best, rows, q, q_ids, parts
             if parts:
                 q_ids, q, parts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), []
-                best = (np.full((len(q), 0), 0.0), np.zeros((len(q), 0), np.int64))
+                best = (np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64))
             if not rows or q is None:
                 rows = []
                 return
@@ -184,18 +229,39 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
             rows = []
             first = _first_of_equals(x, ids, k + 1)
             ids, x = ids[first], x[first]
-            approx = scan(book, q.astype(np.float32), book.encode(x.astype(np.float32)))
+            coded = book.encode(x.astype(np.float32))
+            approx = scan(book, q.astype(np.float32), coded)
             approx[q_ids[:, None] == ids[None, :]] = -np.inf
             at = _candidates(approx, KEEP)
             exact = np.stack([(x[a] * v).sum(1) for a, v in zip(at, q, strict=True)])  # row by row: equal vectors, equal bits
             exact[ids[at] == q_ids[:, None]] = -np.inf
             best = _merge(best, exact, ids[at], k)
+            if len(ids) > KEEP:
+                rest(x, ids, coded, approx, at)
+
+        def rest(x: np.ndarray, ids: np.ndarray, coded: np.ndarray, approx: np.ndarray, at: np.ndarray) -> None:
+            """Merges the rows beyond ``at`` that may be among the best."""
+            nonlocal best
+            with np.errstate(all="ignore"):
+                reach = Reach(book, x, coded)
+                for lo in range(0, len(q), STEP):
+                    some = slice(lo, lo + STEP)
+                    least = best[0][some, k - 1].copy()
+                    may = reach(q[some], approx[some], least)
+                    np.put_along_axis(may, at[some], False, axis=1)
+                    may &= q_ids[some, None] != ids[None, :]
+                    who, row = np.nonzero(may)
+                    for i in range(0, len(who), PAIRS):
+                        a, r = who[i : i + PAIRS], row[i : i + PAIRS]
+                        exact = (x[r] * q[lo + a]).sum(1)
+                        good = exact >= least[a]
+                        new = _best_of_pairs(a[good], exact[good], ids[r[good]], len(least), k)
+                        best[0][some], best[1][some] = _merge((best[0][some], best[1][some]), *new, k)
 
         def done() -> Iterator[pa.RecordBatch]:
             flush()
-            if q is not None and best is not None and best[0].shape[1]:
-                n = best[0].shape[1]
-                out = pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], ["query_id", "vec_id", "score"])
+            if q is not None and best is not None:
+                out = pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, k)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], ["query_id", "vec_id", "score"])
                 yield out.filter(pa.array(np.isfinite(best[0].ravel())))
 
         for batch in batches:

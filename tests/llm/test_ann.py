@@ -52,6 +52,36 @@ def test_blocks_and_ties(spark, monkeypatch):
     assert got[top] == want[top]
 
 
+def near_copies(noise):
+    """Three full blocks of rows, a third of them near copies of one."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(3 * ann.ROWS, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.arange(len(x)) % 3 == 1
+    x[near] = x[1] * (1 + noise * r.normal(size=(near.sum(), 64)))
+    return x
+
+
+def test_near_copies_are_all_reranked(spark):
+    for noise in (0.005, 0.001):
+        x = near_copies(noise)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        want = brute(np.arange(len(x)), x, set(range(0, len(x), 40)), 20)
+        got = found(ann.search(df, F.col("vec_id") % 40 == 0))
+        assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_reach_never_excludes_a_row_that_has_the_score():
+    x = near_copies(0.005)[:1500] * np.random.default_rng(8).uniform(0.1, 9, (1500, 1))
+    book = ann.fit(x[:500].astype(np.float32))
+    codes, q = book.encode(x.astype(np.float32)), np.concatenate([x[::50], -x[::60]])
+    reach, approx, exact = ann.Reach(book, x, codes), ann.scan(book, q.astype(np.float32), codes), q @ x.T
+    for least in np.quantile(exact, (0, 0.1, 0.5, 0.9, 0.99, 1), axis=1):
+        may = reach(q, approx, least)
+        assert may[exact >= least[:, None]].all()
+    assert may.mean() < 0.5
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [1.0, None]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [2.0, 1.0]), (20, [-1.0, 0.5]), (7, [1.0, 2.0, 3.0]), (8, []), (None, [1.0, 1.0])]
