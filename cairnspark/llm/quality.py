@@ -49,7 +49,8 @@ RULES = (
 AGAINST, ABSTAINS, FOR = 0, 1, 2
 #: The probability of a vote against as first believed: for a clean document, by the rule that finds a kind of junk, and
 #: by any other rule. The belief weighs as much as so many documents. Rules are written so that they rarely accuse
-#: a clean document: no estimate goes above ``MOST_WRONG``.
+#: a clean document: no estimate goes above ``MOST_WRONG``. Nor do they accuse junk of any kind more rarely than clean
+#: documents, however many documents speak against it: so another vote against never makes a document cleaner.
 CLEAN, FOUND, OTHER, MOST_WRONG = 0.002, 0.95, 0.2, 0.005
 FIRST_CLEAN, FIRST_WEIGHT, ROUNDS = 0.8, 10.0, 50
 
@@ -143,7 +144,9 @@ def expectation_maximisation(patterns: dict[tuple[int, ...], int], rules: int) -
                 for i, v in enumerate(votes):
                     voted[k][i] += n * p * (v != ABSTAINS)
                     accused[k][i] += n * p * (v == AGAINST)
-        against = [[min(x / y, 1 if k else MOST_WRONG) for x, y in zip(accused[k], voted[k], strict=True)] for k in range(rules + 1)]
+        against = [[x / y for x, y in zip(accused[k], voted[k], strict=True)] for k in range(rules + 1)]
+        against[0] = [min(p, MOST_WRONG) for p in against[0]]
+        against[1:] = [[max(p, least) for p, least in zip(c, against[0], strict=True)] for c in against[1:]]
         e = Estimate([w / sum(weight) for w in weight], against)
     return e
 

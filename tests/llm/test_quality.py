@@ -1,5 +1,6 @@
 import re
 from collections import Counter
+from itertools import combinations, product
 
 from cairnspark.llm import quality
 
@@ -66,6 +67,19 @@ def test_estimates_recover_accuracies():
     assert all(a > 0.9 for a, _ in e.accuracies())
 
 
+def test_another_vote_against_never_raises_the_probability():
+    """However many documents there are: 2 % accused by each rule alone, few by two."""
+    rules = len(quality.RULES)
+    for n, pair in product((10**3, 10**5, 10**7), (1e-5, 1e-6)):
+        counts = {(): n} | {(i,): 0.02 * n for i in range(rules)} | {c: pair * n for c in combinations(range(rules), 2)}
+        patterns = {tuple(quality.AGAINST if i in c else quality.FOR for i in range(rules)): round(x) for c, x in counts.items() if x >= 1}
+        e = quality.expectation_maximisation(patterns, rules)
+        clean = {v: e.likelihoods(v)[0] for v in product(range(3), repeat=rules)}
+        for v, p in clean.items():
+            assert all(clean[(*v[:i], x - 1, *v[i + 1 :])] <= p * (1 + 1e-9) for i, x in enumerate(v) if x), (n, v)
+        assert all(p < 0.5 for v, p in clean.items() if quality.AGAINST in v) and clean[(quality.FOR,) * rules] > 0.98
+
+
 def test_empty_and_tiny(spark):
     df = spark.createDataFrame([(1, "word " * 10), (1, "word " * 10), (2, None)], "doc_id long, text string")
     assert quality.judge(df.limit(0)).count() == 0 and quality.accepted(df.limit(0)).count() == 0
