@@ -42,13 +42,19 @@ class CharacterClass:
     bits: float
 
 
-#: The first that fits a candidate decides.
+#: The first that fits a candidate decides; the last fits all. Separators and words raise the entropy of a window, so
+#: classes that allow them, or need few digits, ask for more.
 CLASSES = (
     CharacterClass("0-9a-f", ("[0-9]", "[a-f]"), 20, 2.9),
     CharacterClass("0-9A-F", ("[0-9]", "[A-F]"), 20, 2.9),
     CharacterClass("0-9a-z", ("[0-9].*[0-9].*[0-9]", "[a-z]"), 20, 3.5),
     CharacterClass("0-9A-Z", ("[0-9].*[0-9].*[0-9]", "[A-Z]"), 20, 3.5),
+    CharacterClass("0-9a-f+/_=-", ("[0-9]", "[a-f]"), 20, 3.3),
+    CharacterClass("0-9A-F+/_=-", ("[0-9]", "[A-F]"), 20, 3.3),
+    CharacterClass("0-9a-z+/_=-", ("[0-9].*[0-9].*[0-9]", "[a-z]"), 20, 3.7),
+    CharacterClass("0-9A-Z+/_=-", ("[0-9].*[0-9].*[0-9]", "[A-Z]"), 20, 3.7),
     CharacterClass("A-Za-z0-9+/_=-", ("[0-9]", "[A-Z]", "[a-z]"), 20, 3.7),
+    CharacterClass("A-Za-z0-9+/_=-", (), 20, 3.8),
 )
 
 #: Harmless candidates: runs of one character, the alphabet or the digits in order, placeholders, identifiers and

@@ -44,6 +44,20 @@ def test_entropy_adds_and_allow_list_suppresses():
     assert [x[1] for x in s.spans(f'token = "{HEX40}"')] == [0, 2]  # nothing to add where a base span covers it
 
 
+KEYS = ("key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "sk-p3k9x7q2m4n8b5v1c6z0l2j4h7g9f3d5", "AB12-CD34-EF56-GH78-IJ90-KL12", "sk_live_4ac39hpqlmz7x2k9", "qpwoeirutyalskdjf7ghzx", "QPWOEIRUTY/ALSKDJF7GHZX", "9f8e-7d6c-5b4a-3f2e-1d0c-a9b8")
+
+
+def test_every_form_of_key_is_judged_by_entropy():
+    s = secrets.Scanner()
+    for key in KEYS:
+        assert s.spans(f"see {key} here") == [(4, 3, 4 + len(key))], key
+        assert not s.dense(key[:2] * 15 + "1"), key
+    r = random.Random(7)
+    for alphabet in ("0123456789abcdefghijklmnopqrstuvwxyz-", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_/", "0123456789abcdef+="):
+        keys = ["".join(r.choice(alphabet) for _ in range(40)) for _ in range(200)]
+        assert sum(s.dense(k) for k in keys) > 180
+
+
 def test_scan_rows(spark):
     texts = [None, "", f'x token = "{HEX40}" y', f"{KEY} " * 3, "plain " * 20_000, "plain", "plain"]
     df = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, spans string, key int")
