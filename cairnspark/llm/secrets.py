@@ -3,7 +3,8 @@
 Base patterns find assignments, access keys and long hexadecimal runs. On top of them, candidate strings (runs of
 the characters that keys are written in) are scanned with a sliding window whose Shannon entropy is kept by
 incremental counts: one character enters, one leaves, and only their two terms of the sum change. Each character
-class has a window and a threshold of its own. An allow list suppresses candidates that are known to be harmless.
+class has a window and a threshold of its own. An allow list suppresses candidates that are wholly of a harmless form.
+Parts that are known, as placeholders, are cut out of a candidate, and what is left on either side is judged on its own.
 
 Spans are in code points, end exclusive. Null text counts as empty: no spans. Empty tables give empty results; other
 columns are ignored by ``scan`` and kept by ``redact``, whatever their names; each row gives one row, repeated or not.
@@ -57,22 +58,29 @@ CLASSES = (
     CharacterClass("A-Za-z0-9+/_=-", (), 20, 3.8),
 )
 
-#: Harmless candidates: runs of one character, the alphabet or the digits in order, placeholders, identifiers and
-#: dates in their usual notation, paths and names made of words and short numbers.
+#: Harmless candidates: runs of one character, numbers, paths and names made of words and short numbers.
 ALLOWED = (
     r"(.)\1*",
-    r"(?i).*(?:example|sample|dummy|placeholder|changeme|xxxx|1234567890|0123456789|abcdefghij).*",
-    r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     r"[0-9+/_=-]*",
-    r"[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z0-9_-]*",
     r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[/_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_=+-]*",
 )
+#: Harmless parts, in any case: placeholders, the alphabet or the digits in order, identifiers in their usual notation, a
+#: date (and time) that a candidate starts with.
+KNOWN = (
+    r"example|sample|dummy|placeholder|changeme|xxxx+",
+    r"abcdefghij" + "".join(f"(?:{c}" for c in "klmnopqrstuvwxyz") + ")?" * 16,
+    r"(?<![0-9])0?(?:1234567890)*(?:123456789|1234567890)(?![0-9])",
+    r"(?<![0-9a-z])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-z])",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[t_-]?[0-9]{2}(?:-?[0-9]{2}){1,2}z?|t[0-9]{2})?(?![0-9a-z])",
+)
+_SEPARATORS = "+/_=-"
 
 
 class Scanner:
-    def __init__(self, classes: tuple[CharacterClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED):
+    def __init__(self, classes: tuple[CharacterClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED, known: tuple[str, ...] = KNOWN):
         self.classes = [(re.compile(f"[{c.alphabet}]*"), [re.compile(n) for n in c.needs], c) for c in classes]
         self.allowed = [re.compile(a) for a in allowed]
+        self.known = re.compile("|".join(known), re.IGNORECASE | re.ASCII)
 
     @staticmethod
     def peak(text: str, window: int) -> float:
@@ -98,6 +106,19 @@ class Scanner:
                 return self.peak(candidate, c.window) >= c.bits
         return False
 
+    def rests(self, candidate: re.Match[str]) -> Iterator[tuple[int, int]]:
+        """(start, end) in the text of what is left of a candidate without its known parts and the separators at the
+        cuts, where it is long enough to be a candidate and has a digit."""
+        text, at = candidate[0], 0
+        cuts = [(m.start(), m.end()) for m in self.known.finditer(text)]
+        for lo, hi in [*cuts, (len(text), len(text))]:
+            rest = text[at:lo]
+            start = at + (len(rest) - len(rest.lstrip(_SEPARATORS)) if at else 0)
+            end = lo - (len(rest) - len(rest.rstrip(_SEPARATORS)) if lo < len(text) else 0)
+            if end - start >= 20 and _DIGIT.search(text, start, end):
+                yield candidate.start() + start, candidate.start() + end
+            at = hi
+
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end), in order."""
         found: list[tuple[int, int, int]] = []
@@ -110,10 +131,12 @@ class Scanner:
         if _DIGIT.search(text):
             base = list(found)
             for m in _CANDIDATE.finditer(text):
-                if any(s <= m.start() and m.end() <= e for s, _, e in base) or any(a.fullmatch(m[0]) for a in self.allowed):
-                    continue
-                if self.dense(m[0]):
-                    found.append((m.start(), 3, m.end()))
+                for start, end in self.rests(m):
+                    rest = text[start:end]
+                    if any(s <= start and end <= e for s, _, e in base) or any(a.fullmatch(rest) for a in self.allowed):
+                        continue
+                    if self.dense(rest):
+                        found.append((start, 3, end))
         return sorted(found)
 
 

@@ -58,6 +58,18 @@ def test_every_form_of_key_is_judged_by_entropy():
         assert sum(s.dense(k) for k in keys) > 180
 
 
+def test_known_parts_hide_nothing_else():
+    s = secrets.Scanner()
+    key = "51H8vJk2eZvKYlo2C0x9Qw"
+    for before, after in (("sample/", ""), ("example_", ""), ("2024-01-02-", ""), ("2024-01-02T03-04-05_", ""), ("", "/xxxxxx"), ("dummy_1234567890/", "-abcdefghijklmnopqrstuvwxyz0123456789"), ("123e4567-e89b-12d3-a456-426614174000/", "")):
+        assert s.spans(f"{before}{key}{after}") == [(len(before), 3, len(before) + len(key))], (before, after)
+    assert s.spans(f"{key}/example/{key}") == [(0, 3, 22), (31, 3, 53)]
+    slack = "xoxp-123456789012-123456789012-a1b2q9z8k7"
+    assert s.spans(slack) == [(0, 3, len(slack))]
+    for harmless in ("user_123e4567-e89b-12d3-a456-426614174000", "key_12345678901234567890", "2024-01-02-nightly-build-7", "20-example-3/sample_12_dummy", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        assert not s.spans(harmless), harmless
+
+
 def test_scan_rows(spark):
     texts = [None, "", f'x token = "{HEX40}" y', f"{KEY} " * 3, "plain " * 20_000, "plain", "plain"]
     df = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, spans string, key int")
