@@ -1,8 +1,9 @@
 """Chat formatting: tool calls are linked to their results, ordered, validated and written as canonical JSON.
 
-A message of the assistant may be a JSON object with ``tool_calls``, a list of {id, name, arguments}; a message of the
-role ``tool`` may be one with ``tool_call_id`` and ``content``. Every other text is a plain message. Calls and results
-become rows of their own.
+A message of the assistant may be a JSON object with ``tool_calls``, a list of {id, name, arguments} or {id, function:
+{name, arguments}}, and ``content``; a message of the role ``tool`` may be one with ``tool_call_id`` and ``content``. Every
+other text is a plain message. Calls and results become rows of their own; what a message says beside its calls is a
+message row before them.
 
 * Linking: the calls and results of a (conversation, identifier) are counted and their first call is found by one
   aggregation, which is joined back by hash. A result belongs to the first call of its identifier; further calls of
@@ -11,7 +12,9 @@ become rows of their own.
 * Order: (conversation, place, depth, turn, part) is a topological order of messages, calls and results: a result's
   place is its own turn or, if that comes first, its call's, after the call. No window over a conversation is needed.
 * Validation: arguments must be an object with all required parameters, each of its type, and no others.
-* JSON: keys in order of code points at all levels, no white space, null members of the message left out.
+* JSON: keys in order of code points at all levels, no white space, null members of the message left out. Other members
+  of a message, call, function or result are kept in its JSON, under ``extra`` if their name is taken by another value; of
+  an object that cannot be read as a whole (a key twice, text after it) the text is kept as ``raw``.
 
 All of it is DataFrame functions. Null text is an empty message; null roles stay null and are left out of the JSON; rows
 without a conversation or turn are formatted but their calls and results link with nothing. Empty tables give
@@ -32,7 +35,8 @@ TOOLS: dict[str, dict[str, tuple[str, bool]]] = {
     "send_mail": {"to": ("array", True), "subject": ("string", False), "body": ("string", True), "options": ("object", False)},
     "convert": {"amount": ("number", True), "source": ("string", True), "target": ("string", True)},
 }
-_CALLS = "tool_calls ARRAY<STRUCT<id: STRING, name: STRING, arguments: STRING>>"
+_CALLS = "tool_calls ARRAY<STRUCT<id: STRING, name: STRING, arguments: STRING, function: STRING>>, content STRING"
+_FUNCTION = "name STRING, arguments STRING"
 _RESULT = "tool_call_id STRING, content STRING"
 #: SQL types of JSON values as ``schema_of_variant`` names them.
 _TYPES = {"string": "^STRING", "integer": "^BIGINT", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN", "array": "^ARRAY", "object": "^OBJECT"}
@@ -60,28 +64,68 @@ def errors(name: Column, arguments: Column, tools: dict[str, dict[str, tuple[str
     return F.coalesce(F.when(no_object, F.array(F.lit("no object"))).otherwise(known), F.array(F.lit("unknown tool")))
 
 
+def _entry(key: Column, value: Column) -> Column:
+    return F.struct(key.alias("k"), value.alias("v"))
+
+
+def _members(value: Column, known: Column) -> Column:
+    """The members of a variant object that are neither known nor null, as (key, JSON); null if it is none."""
+    all_ = F.transform(F.map_entries(value.try_cast("map<string,variant>")), lambda e: _entry(e["key"], F.to_json(e["value"])))
+    return F.filter(all_, lambda e: ~F.array_contains(known, e["k"]) & e["v"].isNotNull() & (e["v"] != "null"))
+
+
+def _object(entries: Column) -> Column:
+    """An object of (key, JSON) entries, sorted by key."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat(_quoted(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
+
+
+def _names(*names: str) -> Column:
+    return F.array(*[F.lit(n) for n in names])
+
+
 def _parts(df: DataFrame) -> DataFrame:
-    """Messages, calls and results as rows: (conv_id, turn, part, kind, role, call_id, name, body)."""
+    """Messages, calls and results as rows: (conv_id, turn, part, kind, role, call_id, name, body, more)."""
     text = F.coalesce("text", F.lit(""))
     maybe = text.rlike(r"^\s*\{")
-    calls = F.when(maybe & (F.col("role") == "assistant") & text.contains("tool_calls"), F.from_json(text, _CALLS)["tool_calls"])
+    said = F.when(maybe & (F.col("role") == "assistant") & text.contains("tool_calls"), F.from_json(text, _CALLS))
     result = F.when(maybe & (F.col("role") == "tool") & text.contains("tool_call_id"), F.from_json(text, _RESULT))
-    part = lambda kind, i, n, b: F.struct(F.lit(kind).alias("kind"), i.alias("call_id"), n.alias("name"), b.alias("body"))
-    none = F.lit(None).cast("string")
+    none, nothing = F.lit(None).cast("string"), F.array().cast("array<struct<k:string,v:string>>")
+    part = lambda kind, i, n, b, m: F.struct(F.lit(kind).alias("kind"), i.alias("call_id"), n.alias("name"), b.alias("body"), m.alias("more"))
+    whole = F.try_parse_json(text)
+    others = lambda *known: F.coalesce(_members(whole, _names(*known)), F.array(_entry(F.lit("raw"), _quoted(text))))
+    given = F.try_variant_get(whole, "$.tool_calls", "array<variant>")
+
+    def call(c: Column, i: Column) -> Column:
+        function, own = F.from_json(c["function"], _FUNCTION), F.get(given, i)
+        read = F.array_compact(F.array(F.when(c["name"].isNull(), F.lit("name")), F.when(c["arguments"].isNull(), F.lit("arguments"))))
+        inside = F.try_variant_get(own, "$.function", "variant")
+        left = _members(inside, read)
+        unread = F.when(left.isNull(), F.to_json(inside)).when(F.size(left) > 0, _object(left))
+        more = F.concat(F.coalesce(_members(own, _names("id", "name", "arguments", "function")), nothing), F.filter(F.array(_entry(F.lit("function"), unread)), lambda e: e["v"].isNotNull() & (e["v"] != "null")))
+        return part("call", c["id"], F.coalesce(c["name"], function["name"]), F.coalesce(c["arguments"], function["arguments"], F.lit("{}")), more)
+
+    beside = F.array(part("message", none, none, F.col("said")["content"], others("tool_calls", "content")))
+    beside = F.filter(beside, lambda p: F.coalesce(F.length(p["body"]) > 0, F.lit(False)) | (F.size(F.filter(p["more"], lambda e: e != _entry(F.lit("role"), _quoted(F.col("role"))))) > 0))
     made = (
-        F.when(F.size("calls") > 0, F.transform("calls", lambda c: part("call", c["id"], c["name"], F.coalesce(c["arguments"], F.lit("{}")))))
-        .when(F.col("result")["tool_call_id"].isNotNull(), F.array(part("result", F.col("result")["tool_call_id"], none, F.coalesce(F.col("result")["content"], F.lit("")))))
-        .otherwise(F.array(part("message", none, none, text)))
+        F.when(F.size(F.col("said")["tool_calls"]) > 0, F.concat(beside, F.transform(F.col("said")["tool_calls"], call)))
+        .when(F.col("result")["tool_call_id"].isNotNull(), F.array(part("result", F.col("result")["tool_call_id"], none, F.coalesce(F.col("result")["content"], F.lit("")), others("tool_call_id", "content"))))
+        .otherwise(F.array(part("message", none, none, text, nothing)))
     )
     rows = df.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("conv_id", "turn", "role", "text", calls.alias("calls"), result.alias("result"))
+    rows = rows.select("conv_id", "turn", "role", "text", said.alias("said"), result.alias("result"))
     return rows.select("conv_id", "turn", "role", F.posexplode(made).alias("part", "p")).select("conv_id", "turn", "part", "role", "p.*")
 
 
-def _json(fields: dict[str, Column]) -> Column:
-    """An object of members that are JSON text already; null members are left out."""
+def _json(fields: dict[str, Column], more: Column) -> Column:
+    """An object of members that are JSON text already, and of more of them; null members are left out."""
     members = [F.concat(F.lit(f'"{k}":'), v) for k, v in sorted(fields.items())]
-    return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+    plain = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+    own = F.array(*[_entry(F.lit(k), v) for k, v in fields.items()])
+    own = F.filter(own, lambda e: e["v"].isNotNull())
+    free = F.filter(more, lambda e: ~e["k"].isin(*fields))
+    taken = F.filter(more, lambda e: e["k"].isin(*fields) & ~F.exists(own, lambda o: o == e))
+    extra = F.filter(F.array(_entry(F.lit("extra"), _object(taken))), lambda e: e["v"] != "{}")
+    return F.when(F.size(more) == 0, plain).otherwise(_object(F.concat(own, free, extra)))
 
 
 def _quoted(text: Column) -> Column:
@@ -111,9 +155,9 @@ def formatted(df: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]] = TOO
     depth = F.when(call, 1).when(result, 2).otherwise(0)
     plain = {"role": _quoted(F.col("role")), "id": _quoted(F.col("call_id"))}
     json = (
-        F.when(call, _json(plain | {"arguments": F.coalesce(canonical(F.col("body")), _quoted(F.col("body"))), "name": _quoted(F.col("name"))}))
-        .when(result, _json(plain | {"content": _quoted(F.col("body"))}))
-        .otherwise(_json({"content": _quoted(F.col("body")), "role": plain["role"]}))
+        F.when(call, _json(plain | {"arguments": F.coalesce(canonical(F.col("body")), _quoted(F.col("body"))), "name": _quoted(F.col("name"))}, F.col("more")))
+        .when(result, _json(plain | {"content": _quoted(F.col("body"))}, F.col("more")))
+        .otherwise(_json({"content": _quoted(F.col("body")), "role": plain["role"]}, F.col("more")))
     )
     return rows.select("conv_id", "turn", "part", "kind", "call_id", status.alias("status"), F.concat_ws("; ", wrong).alias("errors"), place.alias("place"), depth.alias("depth"), json.alias("json"))
 

@@ -65,3 +65,34 @@ def test_table_equals_sql(spark):
     rel = con.sql(chat.SQL)
     assert sorted(map(str, map(tuple, df.select(rel.columns).collect()))) == sorted(map(str, rel.fetchall()))
     assert chat.formatted(spark.read.parquet(f"{sf}/conversations.parquet").limit(0)).count() == 0
+
+
+def test_nothing_beside_calls_is_lost(spark):
+    call = {"id": "c1", "type": "function", "index": 0, "function": {"name": "search", "arguments": '{"query": "a"}', "strict": True}}
+    said = {"role": "assistant", "content": "I will \"look\"", "refusal": None, "meta": {"b": 1, "a": [1.5]}, "tool_calls": [call, {"id": "c2", "name": "calculator", "arguments": {"expression": "1"}, "x": None, "note": "n"}]}
+    texts = [
+        ("assistant", json.dumps(said)),
+        ("tool", json.dumps({"tool_call_id": "c1", "content": "found", "name": "search", "id": 7, "role": "tool"})),
+        ("assistant", json.dumps({"role": "assistant", "content": "", "tool_calls": [call | {"id": "c3"}]})),
+        ("assistant", '{"content": "x", "a": 1, "a": 2, "tool_calls": [{"id": "c4", "name": "search", "arguments": {"query": "q"}}]}'),
+        ("assistant", json.dumps({"tool_calls": [{"id": "c5", "name": "search", "arguments": {"query": "q"}, "function": "other"}]})),
+        ("assistant", json.dumps({"seed": 1, "content": None, "tool_calls": [{"id": "c6", "function": {"name": "none"}}]})),
+    ]
+    rows = {(r.turn, r.part): r for r in chat.formatted(spark.createDataFrame([(1, i, *t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")).collect()}
+    for r in rows.values():
+        assert r.json == json.dumps(json.loads(r.json), sort_keys=True, separators=(",", ":"), ensure_ascii=False), r.json
+    found = {"arguments": {"query": "a"}, "function": {"strict": True}, "index": 0, "name": "search", "role": "assistant", "type": "function"}
+    q = {"arguments": {"query": "q"}, "name": "search", "role": "assistant"}
+    assert {k: json.loads(r.json) for k, r in rows.items()} == {
+        (0, 0): {"content": "I will \"look\"", "meta": {"a": [1.5], "b": 1}, "role": "assistant"},
+        (0, 1): found | {"id": "c1"},
+        (0, 2): {"arguments": {"expression": "1"}, "id": "c2", "name": "calculator", "note": "n", "role": "assistant"},
+        (1, 0): {"content": "found", "extra": {"id": 7}, "id": "c1", "name": "search", "role": "tool"},
+        (2, 0): found | {"id": "c3"},
+        (3, 0): {"content": "x", "raw": texts[3][1], "role": "assistant"},
+        (3, 1): q | {"id": "c4"},
+        (4, 0): q | {"function": "other", "id": "c5"},
+        (5, 0): {"role": "assistant", "seed": 1},
+        (5, 1): {"arguments": {}, "id": "c6", "name": "none", "role": "assistant"},
+    }
+    assert {k: (r.kind, r.status, r.errors) for k, r in rows.items() if k[0] < 2} == {(0, 0): ("message", "message", ""), (0, 1): ("call", "answered", ""), (0, 2): ("call", "unanswered", ""), (1, 0): ("result", "linked", "")}
