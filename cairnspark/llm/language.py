@@ -156,6 +156,17 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def lettered(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose text has a letter, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([has_letter(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    at = df.columns.index(text)
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Whether a document is kept out of training: crc32 of its id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))

@@ -21,8 +21,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language is uncertain."""
+    """Drops documents without a letter and, if there is a language to learn, those whose language is uncertain."""
     model = language.train(docs.where(~language.held_out()))
+    if not model.languages:
+        return language.lettered(docs)
     found = language.predict(docs, model, keep=tuple(docs.columns))
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= CERTAIN)).select(docs.columns)
 

@@ -79,3 +79,12 @@ def test_stages_take_nulls_and_empty_tables(spark):
         for _, f in pipeline.STAGES:
             df = f(spark, df, sf)
         assert df.count() >= 0
+
+
+def test_language_stage_without_a_language(spark):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = spark.createDataFrame([(1, "clean words", None, "s", 11), (2, "12 _ 3!", None, "s", 7), (3, None, None, "s", 0), (4, "é", None, None, 1), (None, "x", None, "s", 1)], docs.schema)
+    after = pipeline.language_id(spark, rows, sf)
+    assert after.dtypes == rows.dtypes and sorted(map(str, after.collect())) == sorted(str(r) for r in rows.collect() if r.doc_id in (1, 4, None))
+    held = docs.where(language.held_out() & (language.F.length("text") > 0)).limit(20)
+    assert pipeline.language_id(spark, held, sf).count() == sum(language.has_letter(r.text) for r in held.collect()) > 0
