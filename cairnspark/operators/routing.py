@@ -78,7 +78,7 @@ def replay(sightings: DataFrame, size: int = K) -> DataFrame:
     return rows.mapInArrow(run, "bucket long, node long, place long, kind string")
 
 
-def lookup(target: DataFrame, known: DataFrame, neighbours: DataFrame, k: int = K, alpha: int = ALPHA, rounds: int = 20) -> DataFrame:
+def lookup(target: DataFrame, known: DataFrame, neighbours: DataFrame, k: int = K, alpha: int = ALPHA) -> DataFrame:
     """(node, rank): iterative lookup of one target. Starting from ``known`` (node, id), each round asks the ``alpha`` nearest
     that have not been asked for their ``neighbours`` (node, neighbour, neighbour_id) and keeps the k nearest of all; it
     ends when all of those have been asked. Only the frontier of at most k nodes is on the driver."""
@@ -89,10 +89,7 @@ def lookup(target: DataFrame, known: DataFrame, neighbours: DataFrame, k: int =
         return df.dropDuplicates(["node"]).withColumn("d", distance(F.col("id"), goal)).orderBy("d", "node").limit(k).select("node", "id").collect()
 
     front, asked = frontier(known), set()
-    for _ in range(rounds):
-        batch = [r["node"] for r in front if r["node"] not in asked][:alpha]
-        if not batch:
-            break
+    while batch := [r["node"] for r in front if r["node"] not in asked][:alpha]:
         asked.update(batch)
         found = neighbours.where(F.col("node").isin(batch)).select(F.col("neighbour").alias("node"), F.col("neighbour_id").alias("id"))
         front = frontier(spark.createDataFrame(front, known.select("node", "id").schema).unionByName(found))

@@ -193,3 +193,11 @@ def test_stream_expiry(spark, tmp_path):
     stream = ingest.source(spark, src, spark.read.parquet(src).schema, files=1).withWatermark("at", "1 second")
     got = {(r.key, r.event) for r in ingest.drained(ingest.expiring(stream, 100_000), "expiry", "append", f"file://{tmp_path}/c").collect()}
     assert {(1, "expired"), (1, "stored"), (3, "stored")} <= got and (3, "expired") not in got
+
+
+def test_lookup_ends_when_all_of_the_nearest_were_asked(spark):
+    words = lambda n: [0] * 7 + [n]
+    target = spark.createDataFrame([(0, words(0))], "node long, id array<bigint>")
+    start = spark.createDataFrame([(25, words(25))], "node long, id array<bigint>")
+    chain = spark.createDataFrame([(n, n - 1, words(n - 1)) for n in range(1, 26)], "node long, neighbour long, neighbour_id array<bigint>")
+    assert [tuple(r) for r in routing.lookup(target, start, chain, k=2, alpha=1).orderBy("rank").collect()] == [(0, 1), (1, 2)]
