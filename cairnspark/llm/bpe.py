@@ -10,7 +10,7 @@ Decoding is a gather from one byte pool through a table of offsets.
 
 Vocabularies are read from the JSON files of the `tokenizers` library: byte symbols, an optional end-of-word
 suffix, merges in rank order. Text goes through normaliser and pre-tokeniser as that library defines them; for
-text below U+0250 this is done here with equal rules, other text goes through the library's own stages.
+words below U+0250 this is done here with equal rules, other words go through the library's own stages.
 
 Null text encodes as empty text: no tokens, the digest of zero bytes. Empty tables give empty results; columns of
 the input besides the key and the text are ignored, whatever their names; each input row gives one row, repeated
@@ -32,11 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_thread
+from .common import Memo, one_thread
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of a worker's word memo; a full memo is emptied, so that memory is bounded on any text.
-MEMO = 600_000
 #: Decoded at once, so that one long text does not need an index of all its bytes.
 DECODE_BLOCK = 1 << 16
 #: Text that the rules below reproduce: Latin letters whose classes and lower-case forms are one code point each.
@@ -45,6 +43,7 @@ _UNUSUAL = re.compile("[^\x00-\x1b\x20-įı-ɏ]")
 _LATIN = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
 _NUMBER = "".join(c for c in map(chr, range(0x250)) if c.isnumeric())
 _SPACE = "\t-\r \x85\xa0"
+_ASCII_SPACE = re.compile("[\t-\r ]+")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -133,7 +132,7 @@ class Encoder:
         import ahocorasick
 
         one_thread()
-        self.path, self.vocabulary = path, Vocabulary(path)
+        self.path, self.vocabulary, self.back = path, Vocabulary(path), byte_symbols()
         tokens = self.tokens = self.vocabulary.reachable
         self.automaton = ahocorasick.Automaton()
         for symbols, i in tokens.items():
@@ -144,8 +143,8 @@ class Encoder:
         self.shorter = {i: next((tokens[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in tokens), -1) for s, i in tokens.items()}
         self.special = re.compile("|".join(map(re.escape, sorted(self.vocabulary.added, key=len, reverse=True))) or r"(?!)")
         self.piece = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[{_NUMBER}]|[^{_SPACE}{_LATIN}{_NUMBER}]+")
-        self.pieces: dict[str, bytes] = {}
-        self.memo = _Memo(self)
+        self.pieces = Memo(lambda p: self._piece(p.encode()))
+        self.memo = Memo(self.chunk)
 
     def symbols(self, data: bytes) -> str:
         s = data.decode("latin-1")
@@ -192,22 +191,17 @@ class Encoder:
         return struct.pack(f"<{len(ids)}i", *ids)
 
     def chunk(self, word: str) -> bytes:
-        """Ids, as little-endian 32-bit integers, of a lower-cased usual word. White space parts pre-tokens in any case."""
-        known, out = self.pieces, []
-        for p in self.piece.findall(word):
-            ids = known.get(p)
-            if ids is None:
-                if len(known) >= MEMO:
-                    known.clear()
-                ids = known[p] = self._piece(p.encode())
-            out.append(ids)
-        return b"".join(out)
+        """Ids, as little-endian 32-bit integers, of a word: lower-cased if it is usual, else as it is. White space parts
+        pre-tokens in any case, and nothing is normalised across it."""
+        if _UNUSUAL.search(word):
+            return b"".join(self._piece(p.encode()) for p in self._library(word))
+        return b"".join(map(self.pieces.__getitem__, self.piece.findall(word)))
 
     def _library(self, text: str) -> list[str]:
         """Pre-tokens by the library's own stages."""
-        back = byte_symbols()
-        normal = _library(self.path).normalizer.normalize_str(text)
-        return [bytes(back[c] for c in p).decode() for p, _ in _library(self.path).pre_tokenizer.pre_tokenize_str(normal)]
+        back = self.back
+        normaliser, pre_tokeniser = _library(self.path)
+        return [bytes(back[c] for c in p).decode() for p, _ in pre_tokeniser.pre_tokenize_str(normaliser.normalize_str(text))]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
@@ -220,22 +214,10 @@ class Encoder:
                 at = m.end()
             return b"".join([*out, self.encode(text[at:])])
         if _UNUSUAL.search(text):
-            return b"".join(map(self._piece, (p.encode() for p in self._library(text))))
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        return b"".join(map(memo.__getitem__, text.lower().split()))
-
-
-class _Memo(dict):
-    """Ids by white-space separated word."""
-
-    def __init__(self, encoder: Encoder):
-        self.chunk = encoder.chunk
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.chunk(word)
-        return ids
+            words = (w if _UNUSUAL.search(w) else w.lower() for w in _ASCII_SPACE.split(text) if w)
+        else:
+            words = text.lower().split()
+        return b"".join(map(self.memo.__getitem__, words))
 
 
 class Offsets:
@@ -283,9 +265,11 @@ class Decoder:
 
 @cache
 def _library(path: str):
+    """The normaliser (None if there is none) and the pre-tokeniser; each access makes new ones, so they are kept."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    whole = Tokenizer.from_file(path)
+    return whole.normalizer, whole.pre_tokenizer
 
 
 @cache

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +44,26 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Memo(dict):
+    """Values by string, made on demand. Bounded in bytes: full, it is emptied; values of long strings are made each time."""
+
+    #: Bytes that it holds about, besides keys and values for each entry; length of the longest key.
+    LIMIT, ENTRY, LONGEST = 160 << 20, 200, 64
+
+    def __init__(self, make: Callable):
+        self.make, self.held = make, 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= self.LONGEST:
+            self.held += self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+            if self.held > self.LIMIT:
+                self.clear()
+                self.held = 0
+            self[key] = value
+        return value
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows for the actions inside, so that long texts stay small in memory."""

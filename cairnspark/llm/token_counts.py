@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _LATIN, _NUMBER, _SPACE, _library, byte_symbols
+from .common import Memo
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of a worker's memo of counts; a full memo is emptied.
-MEMO = 600_000
 #: Text whose pre-tokens the pattern below gives as the library does.
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-ɏ]")
+_WORDS = re.compile(r"(?<=\S)(?= \S)")
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LATIN}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
@@ -49,7 +49,9 @@ class Counter:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merge.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
         self.special = re.compile("|".join(re.escape(x["content"]) for x in whole["added_tokens"]) or r"(?!)")
-        self.memo = _Memo(self)
+        self.memo = Memo(lambda piece: self.size(piece.encode()))
+        self.unusual = Memo(self._library)
+        self.back = back
 
     def merges(self, data: bytes) -> int:
         """Merges made within one pre-token."""
@@ -76,15 +78,24 @@ class Counter:
                 heappush(heap, (m[0], h, m[1]))
         return made
 
+    def size(self, piece: bytes) -> int:
+        """Tokens of one pre-token."""
+        return len(piece) - self.merges(piece)
+
+    def _library(self, text: str) -> int:
+        """Tokens of text whose pre-tokens the library's own stage gives."""
+        back = self.back
+        return sum(self.size(bytes(back[c] for c in p)) for p, _ in _library(self.path)[1].pre_tokenize_str(text))
+
     def plain(self, text: str) -> int:
         """Tokens of text without special strings."""
-        if _UNUSUAL.search(text):
-            back = byte_symbols()
-            pieces = [bytes(back[c] for c in p) for p, _ in _library(self.path).pre_tokenizer.pre_tokenize_str(text)]
-            return sum(len(p) - self.merges(p) for p in pieces)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        return sum(map(self.memo.__getitem__, _PIECE.findall(text)))
+        if not _UNUSUAL.search(text):
+            return sum(map(self.memo.__getitem__, _PIECE.findall(text)))
+        # a single space between other characters begins a pre-token, whatever they are
+        n = 0
+        for part in _WORDS.split(text):
+            n += self.unusual[part] if _UNUSUAL.search(part) else sum(map(self.memo.__getitem__, _PIECE.findall(part)))
+        return n
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -93,18 +104,6 @@ class Counter:
         return len(found) - 1 + sum(map(self.plain, found))
 
 
-class _Memo(dict):
-    """Tokens by pre-token."""
-
-    def __init__(self, counter: Counter):
-        self.merges = counter.merges
-
-    def __missing__(self, piece: str) -> int:
-        data = piece.encode()
-        n = self[piece] = len(data) - self.merges(data)
-        return n
-
-
 @cache
 def counter(path: str) -> Counter:
     """One for each Python worker, memo included."""

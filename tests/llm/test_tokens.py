@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from cairnspark.llm import bpe, token_counts
+from cairnspark.llm.common import Memo
 
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
 ODD = ["a", "b", "the", "ing", "'s", "'S", " ", "  ", "\n", "\x1c", "\x85", "\xa0", "é", "é", "İ", "ß", "ŉ", "ǅ", "1", "½", "٣", "中", "😀", "<|endoftext|>", "<|startoftext|>", "<|end", "​", "Σ", "ς", "K", "''", "re", "'LL", "...", "!!", "\x00", "_", "ſ"]
@@ -66,13 +67,18 @@ def test_counts_equal_library():
         assert c.count(t) == len(lib.encode(t, add_special_tokens=False).ids)
 
 
-def test_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(token_counts, "MEMO", 3)
-    monkeypatch.setattr(bpe, "MEMO", 3)
+def test_memos_are_bounded_in_bytes(monkeypatch):
+    """Long words are not kept at all; of others, no more than the limit."""
+    c, e, lib = token_counts.Counter(BYTE), bpe.Encoder(WORD), Tokenizer.from_file(BYTE)
+    long = " ".join(f"{i:x}" * 40 + "’" * (i % 2) for i in range(1, 400))
+    assert c.count(long) == len(lib.encode(long, add_special_tokens=False).ids)
+    e.encode(long)
+    assert all(len(k) <= Memo.LONGEST for m in (c.memo, c.unusual, e.pieces, e.memo) for k in m)
+    monkeypatch.setattr(Memo, "LIMIT", 3 * Memo.ENTRY)
     c, e = token_counts.Counter(BYTE), bpe.Encoder(WORD)
     for t in odd_texts(50, 3):
         c.count(t), e.encode(t)
-    assert len(c.memo) < 60 and len(e.pieces) <= 3
+    assert max(map(len, (c.memo, c.unusual, e.pieces, e.memo))) <= 3
 
 
 def test_count_rows(spark):
