@@ -16,10 +16,12 @@ prefix (the least hashes, of which two similar sets share one). No link is lost.
 Candidates are filtered by parity sketches: bit strings whose Hamming distance never exceeds the symmetric difference,
 as each differing element flips one bit. What passes is verified on the sets, made again from the whole texts.
 
-Groups of equal sets count as one. The rows of a key, two numbers each, are sorted and read in order by one task. Within a
-key, documents are first compared with the least and the greatest one
-only; components of those links are found, and then just documents of different components, in tiles of bounded size
-that emit only what passes the filter. So large groups of near copies are joined without making all their pairs.
+Groups of equal sets count as one. The rows of a key, two numbers each, are sorted and read in order by one task, but for
+hot keys, which are set apart from the start. Within a key, documents are first compared with the least and the greatest
+one only; components of those links are found, and then just documents of different components, in tiles of bounded
+size, and each pair about once however many keys it shares. So large groups of near copies are joined without making all
+their pairs; what grows faster than such a group is only the comparison of the sketches of documents in it that no link
+has joined.
 
 Null and empty texts have no shingle and link with nothing. Empty tables give empty results; other columns are ignored
 by ``components_of`` and kept by ``representatives``, whatever their names. Rows that share an id count as one
@@ -37,12 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remove, shared_folder, small_batches, written
+from .common import Memo, remove, shared_folder, small_batches, written
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
-#: Ratio of a band's size limits; documents of a tile; entries of a worker's memo of word hashes.
-RATIO, TILE, MEMO = 1.5, 512, 100_000
+#: Ratio of a band's size limits; documents of a tile and their shingles, about; numbers that are compared at once; one
+#: document in so many tells the hot keys.
+RATIO, TILE, TILE_SIZE, CELLS, SPARSE = 1.5, 1024, 1 << 22, 1 << 20, 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
 
@@ -52,10 +55,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Memo(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+class _Memo(Memo):
+    """Hashes by word."""
+
+    LIMIT = 24 << 20
+
+    def __init__(self) -> None:
+        super().__init__(xxhash.xxh3_64_intdigest)
 
 
 def shingles(text: str | None, memo: _Memo, size: int = SHINGLE) -> np.ndarray:
@@ -63,8 +69,6 @@ def shingles(text: str | None, memo: _Memo, size: int = SHINGLE) -> np.ndarray:
     found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not found:
         return np.zeros(0, np.uint64)
-    if len(memo) > MEMO:
-        memo.clear()
     w = np.fromiter(map(memo.__getitem__, found), dtype=np.uint64, count=len(found))
     k = min(size, len(w))
     n = len(w) - k + 1
@@ -207,63 +211,90 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> Data
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long")
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in different components and pass the filter. ``members``: (key, id, component,
-    n, sketch). A large group is dealt into tiles; each pair of tiles is one unit of work."""
+def apart(n: np.ndarray, comp: np.ndarray, tile: np.ndarray, crossing: bool, sketches: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of the pairs of different components that sizes and sketches leave open, each pair once; of
+    different tiles only, if ``crossing``. Pairs of one component are never compared."""
+    bits = np.array([8 * len(s) for s in sketches])
+    for width in np.unique(bits):
+        few, all_ = np.flatnonzero(bits == width), np.flatnonzero(bits >= width)
+        w = np.stack([_words(sketches[j], width) for j in all_])
+        step = max(1, CELLS // (len(all_) * w.shape[1]))
+        for lo in range(0, len(few), step):
+            i = few[lo : lo + step, None]
+            ok = (comp[i] != comp[all_]) & ((bits[all_] > width) | (all_ > i))
+            ok &= np.minimum(n[i], n[all_]) * 100 >= np.maximum(n[i], n[all_]) * percent
+            if crossing:
+                ok &= tile[i] != tile[all_]
+            p, q = np.nonzero(ok)
+            if len(p):
+                x, y = i[p, 0], all_[q]
+                away = np.bitwise_count(w[np.searchsorted(all_, x)] ^ w[q]).sum(axis=1, dtype=np.int64)
+                near_ = away <= limit(n[x], n[y], percent)
+                yield x[near_], y[near_]
+
+
+def across(placed: DataFrame, sizes: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Pairs (a, b) that share a key, lie in different components and pass the filter. ``placed``: (key, id, component),
+    without the least and the greatest id of each key, whose pairs are settled.
+
+    Keys that share documents form a block. Where that means fewer comparisons, the documents of a block are compared as
+    one unit, each pair once, else those of each of its keys. Units are dealt into tiles of bounded size; each pair of
+    tiles is one piece of work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        seen: set[tuple[int, int]] = set()
+        by = ("whole", "unit", "ti", "tj")
 
-        def unit(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             ids, comp, n, tile = (t.column(c).to_numpy() for c in ("id", "component", "n", "tile"))
-            s, (ti, tj) = t.column("sketch").to_pylist(), (t.column("ti")[0].as_py(), t.column("tj")[0].as_py())
-            by_size = np.argsort(n, kind="stable")
-            words: dict[int, np.ndarray] = {}
-            out: list[tuple[int, int]] = []
-            for at, i in enumerate(by_size):
-                end = np.searchsorted(n[by_size], n[i] * 100 // percent, "right")
-                rest = by_size[at + 1 : end]
-                rest = rest[(comp[rest] != comp[i]) & ((ti == tj) | (tile[rest] != tile[i]))]
-                if not len(rest):
-                    continue
-                bits = 8 * len(s[i])
-                if bits not in words:
-                    words[bits] = np.stack([_words(x, bits) if len(x) * 8 >= bits else np.zeros(bits // 64, np.uint64) for x in s])
-                w = words[bits]
-                away = np.bitwise_count(w[rest] ^ w[i]).sum(axis=1, dtype=np.int64)
-                for j in rest[away <= limit(n[i], n[rest], percent)]:
-                    pair = (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
-                    if pair not in seen:
-                        seen.add(pair)
-                        out.append(pair)
-            if len(seen) > 100_000:
-                seen.clear()
-            if out:
-                yield _table({"a": (pa.int64(), [p[0] for p in out]), "b": (pa.int64(), [p[1] for p in out])})
+            crossing = t.column("ti")[0].as_py() != t.column("tj")[0].as_py()
+            for i, j in apart(n, comp, tile, crossing, t.column("sketch").to_pylist(), percent):
+                if len(i):
+                    yield _table({"a": (pa.int64(), np.minimum(ids[i], ids[j])), "b": (pa.int64(), np.maximum(ids[i], ids[j]))})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g = [batch.column(c).to_numpy() for c in ("key", "ti", "tj")]
+            g = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
             edges = np.flatnonzero(np.any([x[1:] != x[:-1] for x in g], axis=0)) + 1
             cuts = [0, *edges.tolist(), batch.num_rows]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 part = batch.slice(lo, hi - lo)
-                if held and any(held[0].column(c)[0].as_py() != part.column(c)[0].as_py() for c in ("key", "ti", "tj")):
-                    yield from unit(pa.Table.from_batches(held))
+                if held and any(held[0].column(c)[0].as_py() != part.column(c)[0].as_py() for c in by):
+                    yield from work(pa.Table.from_batches(held))
                     held = []
                 held.append(part)
         if held:
-            yield from unit(pa.Table.from_batches(held))
-
-    mixed = members.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("c")).where("c0 <> c1").select("key", F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
-    rows = members.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+            yield from work(pa.Table.from_batches(held))
+
+    placed = written(placed.join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id").select("key", "id", "component", "n"), f"{folder}/placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("c"), F.sum("n").alias("of_n"), F.min("id").alias("low"))
+    mixed = written(mixed.where("c0 <> c1").select("key", "c", "of_n", "low"), f"{folder}/mixed")
+    open_ = written(placed.join(mixed, "key").select("key", "c", "of_n", "low", "id", "component", "n"), f"{folder}/apart")
+    linked = components(open_.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")), f"{folder}/blocks").withColumnRenamed("component", "block")
+    docs = open_.groupBy("id").agg(F.min("component").alias("component"), F.max("n").alias("n"), F.sum("c").alias("s"))
+    docs = docs.join(linked.withColumnRenamed("node", "id"), "id")
+    blocks = written(docs.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("of_n"), F.sum("s").alias("s")), f"{folder}/sized")
+    whole = docs.select("id", "component", "block").join(blocks.where("c * c <= s"), "block").select(F.lit(True).alias("whole"), F.col("block").alias("unit"), "id", "component", "c", "of_n")
+    some = linked.join(blocks.where("c * c > s"), "block").select(F.col("node").alias("id"))
+    by_key = open_.join(some, "id", "left_semi").select(F.lit(False).alias("whole"), F.col("key").alias("unit"), "id", "component", "c", "of_n")
+    tiles = F.ceil(F.greatest(F.col("c") / TILE, F.col("of_n") / TILE_SIZE)).cast("int")
+    rows = whole.unionByName(by_key).withColumn("tiles", tiles).join(sizes, "id").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other"))
-    rows = rows.select("key", "ti", "tj", "tile", "id", "component", "n", "sketch").repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
+    rows = rows.select("whole", "unit", "ti", "tj", "tile", "id", "component", "n", "sketch").repartition("whole", "unit", "ti", "tj").sortWithinPartitions("whole", "unit", "ti", "tj")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def heavy(stored: DataFrame, folder: str) -> DataFrame:
+    """Keys that hold more than an eighth of a partition's even share of all rows, as far as one document in ``SPARSE``
+    tells: at most eight for each partition. The result does not depend on which are found, only how they are read."""
+    parts = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = stored.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SPARSE)) == 0)).select("id", F.explode("keys").alias("key"))
+    some = written(some, f"{folder}/sparse")
+    often = some.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.max("id").alias("high"))
+    return written(often.where((F.col("low") != F.col("high")) & (F.col("c") * 8 * parts > some.count())).select("key"), f"{folder}/heavy")
+
+
 def _tidy(df: DataFrame) -> None:
     """Lets go of shuffle files whose results are stored: they go when the JVM collects what refers to them."""
     df.sparkSession.sparkContext._jvm.System.gc()
@@ -276,35 +307,48 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
 
 
 def _groups(docs: DataFrame, percent: int, size: int, folder: str) -> DataFrame:
-    made = summarise(docs, percent, size)
-    made.write.parquet(f"{folder}/all")
-    stored = docs.sparkSession.read.schema(made.schema).parquet(f"{folder}/all")
-    classes = stored.where("id IS NOT NULL AND n > 0").groupBy("digest", "n").agg(F.min("id").alias("first"))
-    belongs = written(stored.select("id", "n", "digest").join(classes, ["digest", "n"], "left").select("id", "n", F.coalesce("first", "id").alias("first")), f"{folder}/belongs")
+    spark = docs.sparkSession
+    stored = written(summarise(docs, percent, size), f"{folder}/all")
+    # what a hot digest or key is joined with is stored, so that AQE can split the other side of the join
+    classes = stored.where("id IS NOT NULL AND n > 0").groupBy("digest", "n").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    copied = stored.select("id", "n", "digest").join(written(classes, f"{folder}/classes"), ["digest", "n"], "left")
+    belongs = written(copied.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("first", "id")).alias("first")), f"{folder}/belongs")
     copies = belongs.where("first <> id").select("id").distinct()
 
     # Keys of two documents or more, told by a row's neighbours in order: one shuffle, nothing of a group is held. Stored
     # before copies are taken out, else the optimiser would shuffle whole arrays of keys for that.
     rows = stored.where("id IS NOT NULL").select("id", F.explode("keys").alias("key"))
+    hot = heavy(stored, folder)
+    some_hot = not hot.isEmpty()
     by_key = Window.partitionBy("key").orderBy("id")
-    beside = rows.withColumn("low", F.lag("id").over(by_key)).withColumn("high", F.lead("id").over(by_key))
-    shared = written(beside.where((F.col("low") != F.col("id")) | (F.col("high") != F.col("id"))).select("key", "id"), f"{folder}/shared")
-    members = written(shared.join(copies, "id", "left_anti").select("key", "id"), f"{folder}/members")
+    cold = rows.join(F.broadcast(hot), "key", "left_anti") if some_hot else rows
+    beside = cold.withColumn("low", F.lag("id").over(by_key)).withColumn("high", F.lead("id").over(by_key))
+    shared = beside.where((F.col("low") != F.col("id")) | (F.col("high") != F.col("id"))).select("key", "id")
+    if some_hot:
+        shared = shared.unionByName(rows.join(F.broadcast(hot), "key", "left_semi").select("key", "id"))
+    members = written(written(shared, f"{folder}/shared").join(copies, "id", "left_anti").select("key", "id"), f"{folder}/members")
     sizes = written(stored.where("id IS NOT NULL").select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi"), f"{folder}/sizes")
-    remove(docs.sparkSession, f"{folder}/all")
+    for gone in ("all", "shared", "sparse", "heavy", "classes"):
+        remove(spark, f"{folder}/{gone}")
     _tidy(docs)
 
-    ends = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    both = members.join(ends, "key")
-    star = both.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).unionByName(both.where("id <> high").select(F.col("id").alias("a"), F.col("high").alias("b"))).distinct()
+    ends = written(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high"), f"{folder}/ends")
+    both = written(members.join(ends, "key").select("key", "id", "low", "high"), f"{folder}/both")
+    for gone in ("members", "ends"):
+        remove(spark, f"{folder}/{gone}")
+    to_ends = F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))
+    star = both.select(F.inline(to_ends)).where("a <> b").distinct()
     edges = written(verified(written(filtered(star, sizes, percent), f"{folder}/open0"), docs, percent, size), f"{folder}/edges0")
     joined = components(edges, f"{folder}/c0")
     _tidy(docs)
 
-    placed = members.join(joined, members["id"] == joined["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    rest = across(placed.join(sizes, "id"), percent)
+    inner = both.where((F.col("id") != F.col("low")) & (F.col("id") != F.col("high"))).select("key", "id")
+    placed = inner.join(joined, inner["id"] == joined["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    rest = across(placed, sizes, percent, folder)
     more = written(verified(written(rest, f"{folder}/open1"), docs, percent, size), f"{folder}/edges1")
     last = components(edges.unionByName(more), f"{folder}/c1")
+    for gone in ("both", "placed", "sizes", "open0", "edges0", "c0", "mixed", "apart", "blocks", "sized", "open1", "edges1"):
+        remove(spark, f"{folder}/{gone}")
     return belongs.join(last, belongs["first"] == last["node"], "left").select("id", "n", F.coalesce("component", "first").alias("component"))
 
 

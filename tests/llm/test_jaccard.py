@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from cairnspark.llm import components, jaccard
 
@@ -91,6 +92,41 @@ def test_components_equal_brute_force(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def near_group(r, n, words=60):
+    """Copies of one text with a few words changed each: most pairs lie around the threshold."""
+    base = [f"w{r.randrange(9999)}" for _ in range(words)]
+    return [" ".join(f"x{r.random()}" if r.random() < 0.012 else w for w in base) for _ in range(n)]
+
+
+@pytest.mark.parametrize("parts, hot", [(4, False), (64, True)])
+def test_large_group_of_near_copies(spark, monkeypatch, parts, hot):
+    """Each pair is given out once at most, and the keys that many documents share are read apart without loss."""
+    monkeypatch.setattr(jaccard, "TILE", 40)
+    monkeypatch.setattr(jaccard, "SPARSE", 1 if hot else 1 << 20)
+    given, found = [], []
+    across, heavy = jaccard.across, jaccard.heavy
+    monkeypatch.setattr(jaccard, "across", lambda *a: given.append(across(*a)) or given[-1])
+    monkeypatch.setattr(jaccard, "heavy", lambda *a: found.append(heavy(*a)) or found[-1])
+    monkeypatch.setattr(jaccard, "remove", lambda *a: None)
+    rows = list(enumerate(near_group(random.Random(4), 240) + [None, "a b", "a b"]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components_of(df).collect()}
+        pairs = [tuple(r) for r in given[0].collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == brute(rows) and (found[0].count() > 0) == hot
+    assert len(pairs) == len(set(pairs)) and all(got[a][1] is not None and a < b for a, b in pairs)
+
+
+def test_rows_without_id_are_in_no_group(spark):
+    df = spark.createDataFrame([(1, "a b c d e"), (None, "a b c d e"), (2, "A b c d e"), (1, "a b c d e")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.component_id) for r in jaccard.components_of(df).collect())
+    assert got == [("1", 1), ("1", 1), ("2", 1), ("None", None)]
+    assert jaccard.representatives(df).count() == 3
+
+
 def test_documents_and_representatives(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute([(d.doc_id, d.text) for d in docs.select("doc_id", "text").collect()], 5, 80)
