@@ -129,11 +129,14 @@ class Scanner:
             found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
         found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
         if _DIGIT.search(text):
-            base = list(found)
+            base = sorted(found)
+            at = covered = 0  # base spans that start so far, and the furthest of their ends
             for m in _CANDIDATE.finditer(text):
                 for start, end in self.rests(m):
+                    while at < len(base) and base[at][0] <= start:
+                        covered, at = max(covered, base[at][2]), at + 1
                     rest = text[start:end]
-                    if any(s <= start and end <= e for s, _, e in base) or any(a.fullmatch(rest) for a in self.allowed):
+                    if end <= covered or any(a.fullmatch(rest) for a in self.allowed):
                         continue
                     if self.dense(rest):
                         found.append((start, 3, end))

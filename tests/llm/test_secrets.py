@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from math import log2
 
 from cairnspark.llm import secrets
@@ -81,3 +82,26 @@ def test_scan_rows(spark):
     red = {r.doc_id: r for r in secrets.redact(df).collect()}
     assert red[2].text == "x [SECRET]\" y" and red[0].text is None and red[5].text == "plain" and red[2].spans == "s"
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_long_texts_take_linear_time():
+    """Megabytes of spans and candidates: each is looked at once."""
+    s = secrets.Scanner()
+    took = []
+    for n in (10_000, 80_000):
+        text = " ".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(n))
+        began = time.process_time()
+        assert len(s.spans(text)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * 3 * took[0] + 1
+
+
+def test_candidates_inside_base_spans_as_by_brute_force():
+    r = random.Random(9)
+    for _ in range(300):
+        parts = [r.choice((HEX40, KEY, "token = " + HEX40[:30], "qpwoeirutyalskdjf7ghzx", "plain", "AB12-CD34-EF56-GH78-IJ90-KL12", HEX40 + "-" + KEY)) for _ in range(8)]
+        text = " ".join(parts)
+        found = secrets.Scanner().spans(text)
+        base = [x for x in found if x[1] < 3]
+        assert base == brute(text)
+        assert not any(k == 3 and any(a <= s and e <= b for a, _, b in base) for s, k, e in found)
