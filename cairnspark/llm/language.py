@@ -142,18 +142,17 @@ def train(df: DataFrame, label: str = "lang", text: str = "text", buckets: int =
     return Model(names, prior, np.log(grams / grams.sum(axis=0)).astype(np.float32))
 
 
-def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, lang_pred, score) for each row, after the columns ``keep``."""
+def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, lang_pred, score) for each row."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = held.value.predict(batch.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            names, scores = held.value.predict(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["key", "lang_pred", "score"])
 
-    rows = df.select(key, *[c for c in keep if c != key], F.col(text).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def lettered(df: DataFrame, text: str = "text") -> DataFrame:
@@ -167,6 +166,19 @@ def lettered(df: DataFrame, text: str = "text") -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def certain(df: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows whose language the model gives with a score of ``least`` or more, as they are."""
+    held = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = held.value.predict(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    at = df.columns.index(text)
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Whether a document is kept out of training: crc32 of its id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))

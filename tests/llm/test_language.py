@@ -37,6 +37,34 @@ def test_scores_equal_brute_force(monkeypatch):
                 assert math.isclose(s, 1 / np.exp(want - want.max()).sum(), rel_tol=1e-3)
 
 
+def test_training_equals_a_plain_loop(spark):
+    rows = [("aa", "Ab c1"), ("bb", "zürich é"), ("aa", None), ("bb", "12"), ("aa", "b" * 40), (None, "abc"), ("cc", "7")]
+    model = language.train(spark.createDataFrame(rows, "lang string, text string").repartition(3), buckets=512)
+    counts, docs = {x: np.zeros(512) for x in ("aa", "bb")}, {"aa": 0, "bb": 0}
+    for label, text in rows:
+        if label in counts and language.has_letter(text):
+            docs[label] += 1
+            x = [ord(c) if c.isalpha() else 32 for c in text.lower()] + [32, 32]
+            for i in range(len(x) - 2):
+                h = 0
+                for size in language.SIZES:
+                    h = (h + x[i + size - 1] + 1) * 0x9E3779B97F4A7C15 % 2**64
+                    counts[label][(h >> 40) % 512] += 1
+    assert model.languages == ["aa", "bb"]
+    for i, label in enumerate(model.languages):
+        want = np.log((counts[label] + 0.5) / (counts[label] + 0.5).sum())
+        assert np.allclose(model.weight[:, i], want, atol=1e-5)
+        assert math.isclose(model.prior[i], math.log((docs[label] + 1) / (sum(docs.values()) + 2)))
+
+
+def test_certain_keeps_rows_as_they_are(spark):
+    model = language.train(spark.createDataFrame([("en", "the of and"), ("de", "der die das")], "lang string, text string"))
+    cols = "score string, lang_pred int, key int, _text string, text string, held_out int"
+    df = spark.createDataFrame([("s", 1, 2, "t", "the and", 3), (None, None, None, None, None, None), ("s", 1, 2, "t", "7", 3)], cols)
+    kept = language.certain(df, model, 0.5)
+    assert kept.dtypes == df.dtypes and [tuple(r) for r in kept.collect()] == [("s", 1, 2, "t", "the and", 3)]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()

@@ -81,6 +81,17 @@ def test_stages_take_nulls_and_empty_tables(spark):
         assert df.count() >= 0
 
 
+def test_stages_take_columns_of_any_name(spark):
+    names = ["score", "lang_pred", "_text", "key", "votes", "quality", "component", "id", "first", "row", "_other", "base_failed"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = docs.limit(60).select("*", *[language.F.lit(i).alias(n) for i, n in enumerate(names)])
+    for name, f in pipeline.STAGES[:-1]:
+        after = f(spark, more, sf)
+        assert after.dtypes == more.dtypes and after.count() > 0, name
+        more = after
+    assert pipeline.STAGES[-1][1](spark, more, sf).count() > 0
+
+
 def test_language_stage_without_a_language(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = spark.createDataFrame([(1, "clean words", None, "s", 11), (2, "12 _ 3!", None, "s", 7), (3, None, None, "s", 0), (4, "é", None, None, 1), (None, "x", None, "s", 1)], docs.schema)
