@@ -25,8 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs.where(~language.held_out()))
     if not model.languages:
         return language.lettered(docs)
-    found = language.predict(docs, model, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= CERTAIN)).select(docs.columns)
+    return language.certain(docs, model, CERTAIN)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
