@@ -1,21 +1,27 @@
 """Quality rules combined by weak supervision.
 
-Every rule votes for a document, against it or abstains. Each class (clean, and one kind of junk for each rule) has
-for every rule a distribution over the three votes; expectation-maximisation estimates them, and so the rules'
-accuracies, together with the classes' shares from the counts of vote patterns, of which there are at most 3 ** len(RULES) whatever the input. A document is kept if the
-posterior probability that it is clean reaches the threshold and it does not fail the base rule.
+Every rule votes for a document, against it, or abstains between its two limits. Rules come in families that look at one
+kind of junk from several sides, so that a vote can be borne out or contradicted. The classes are clean documents and one
+kind of junk for each family. Each class has, for each rule, a distribution over the three votes; expectation-
+maximisation estimates these, and so the rules' accuracies, together with the classes' shares, from the counts of vote
+patterns. Nothing bounds the estimates but one order: for no kind of junk may a vote against be weaker evidence than an
+abstention, or an abstention than a vote for. So another vote against never makes a document cleaner, however rare its
+pattern is. A document is kept if the posterior probability that it is clean reaches the threshold and it does not fail
+the base rule: one accusation that the other rules of its family contradict does not reject it, and several abstentions
+can.
 
 Features and votes are DataFrame functions only; repeated three-word windows are found within each document by
-sorting 64-bit hashes of its windows, so nothing but vote patterns is shuffled.
+sorting 64-bit hashes of its windows, so nothing but vote patterns is shuffled. Of those, at most 3 ** len(RULES) whatever
+the input, counts reach the driver.
 
 Null text has no words and fails the base rule. Empty tables give empty results; other columns are ignored by
-``judge`` and kept by ``accepted``, whatever their names; each row gives one row, repeated or not.
+``judge`` and kept by ``accepted``, whatever their names; each row gives one row, repeated or not. Very long texts are
+taken whole; a window is one 64-bit number.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
 from math import exp, log
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import shared_folder, words, written
 
 SYMBOLS = r"[#*$%&|<>]"
+#: Code points of a short word, at most.
+SHORT = 3
 
 
 @dataclass(frozen=True)
@@ -31,28 +39,30 @@ class Rule:
     """Votes on a feature: for the document up to ``good``, against it from ``bad`` on, else it abstains."""
 
     name: str
+    family: str
     feature: Column | str
     good: float
     bad: float
 
 
-#: Shares are of words, but for capitals (of code points) and repeated lines (of lines with a word).
+#: Shares are of words, but for capitals (of code points), repeated lines (of lines with a word) and repeated windows.
 RULES = (
-    Rule("symbols", "n_symbols / n", 0.05, 0.3),
-    Rule("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", 0.1, 0.4),
-    Rule("repeated_words", "n_repeat_words / n", 0.15, 0.5),
-    Rule("capitals", "n_capitals / greatest(n_chars, 1)", 0.1, 0.3),
-    Rule("exclamations", "n_exclamations / n", 0.1, 0.3),
-    Rule("word_length", "abs(word_chars / n - 5)", 1.3, 2.2),
+    Rule("symbols", "symbols", "n_symbols / n", 0.05, 0.3),
+    Rule("symbol_words", "symbols", "n_symbol_words / n", 0.05, 0.2),
+    Rule("repeated_lines", "repetition", "n_dup_lines / greatest(n_lines, 1)", 0.1, 0.4),
+    Rule("repeated_words", "repetition", "n_repeat_words / n", 0.15, 0.4),
+    Rule("repeated_windows", "repetition", "n_dup_windows / n", 0.1, 0.3),
+    Rule("word_length", "words", "abs(word_chars / n - 5)", 1.3, 2.2),
+    Rule("short_words", "words", "1 - n_short / n", 0.85, 0.97),
+    Rule("capitals", "shouting", "n_capitals / greatest(n_chars, 1)", 0.1, 0.3),
+    Rule("exclamations", "shouting", "n_exclamations / n", 0.1, 0.3),
 )
-#: Votes as stored; an abstention says nothing of a document's class.
+#: Votes as stored.
 AGAINST, ABSTAINS, FOR = 0, 1, 2
-#: The probability of a vote against as first believed: for a clean document, by the rule that finds a kind of junk, and
-#: by any other rule. The belief weighs as much as so many documents. Rules are written so that they rarely accuse
-#: a clean document: no estimate goes above ``MOST_WRONG``. Nor do they accuse junk of any kind more rarely than clean
-#: documents, however many documents speak against it: so another vote against never makes a document cleaner.
-CLEAN, FOUND, OTHER, MOST_WRONG = 0.002, 0.95, 0.2, 0.005
-FIRST_CLEAN, FIRST_WEIGHT, ROUNDS = 0.8, 10.0, 50
+#: The probabilities of the three votes as first believed: of a clean document, of junk by a rule of its family, of junk by
+#: another rule. The belief weighs as much as so many documents.
+CLEAN, FOUND, OTHER = (0.02, 0.05, 0.93), (0.7, 0.2, 0.1), (0.1, 0.2, 0.7)
+FIRST_CLEAN, FIRST_WEIGHT, ROUNDS, CLOSE = 0.8, 10.0, 200, 1e-9
 
 
 def _let(value: Column, body) -> Column:
@@ -68,7 +78,7 @@ def _repeated(grams: Column) -> Column:
         twice = F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))))
         return _let(F.sort_array(F.transform(twice, lambda x: x["i"])), lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1), x + 3) - x)), F.lit(0), lambda a, x: a + x))
 
-    return F.when(F.size(grams) == F.size(F.array_distinct(grams)), F.lit(0)).otherwise(_let(F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered))
+    return _let(F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered)
 
 
 def features(df: DataFrame, key: Column, text: Column) -> DataFrame:
@@ -76,6 +86,7 @@ def features(df: DataFrame, key: Column, text: Column) -> DataFrame:
     bare = F.coalesce(text.cast("string"), F.lit(""))
     lines = F.filter(F.split(bare, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     without = lambda pattern: F.length("t") - F.length(F.regexp_replace("t", pattern, ""))
+    symbols = F.length("t") - F.length(F.translate("t", SYMBOLS[1:-1], ""))
     n = F.size("w")
     grams = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))
     out = df.select(key.alias("key"), bare.alias("t"), words(bare).alias("w"), lines.alias("l"))
@@ -83,16 +94,19 @@ def features(df: DataFrame, key: Column, text: Column) -> DataFrame:
         "key",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        without(SYMBOLS).cast("long").alias("n_symbols"),
+        symbols.cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.size("l").alias("n_lines"),
         F.length("t").alias("n_chars"),
         without(r"\p{Lu}").alias("n_capitals"),
         without("!").alias("n_exclamations"),
+        F.when(symbols > 0, F.size(F.filter("w", lambda x: x.rlike(SYMBOLS)))).otherwise(0).alias("n_symbol_words"),
+        F.size(F.filter("w", lambda x: F.length(x) <= SHORT)).alias("n_short"),
         grams.alias("grams"),
         F.greatest(n, F.lit(1)).alias("n"),
     )
-    out = out.withColumn("n_repeat_words", _repeated(F.col("grams")).cast("long"))
+    out = out.withColumn("n_dup_windows", F.size("grams") - F.size(F.array_distinct("grams")))
+    out = out.withColumn("n_repeat_words", F.when(F.col("n_dup_windows") == 0, 0).otherwise(_repeated(F.col("grams"))).cast("long"))
     votes = []
     for r in RULES:
         x = F.expr(r.feature) if isinstance(r.feature, str) else r.feature
@@ -103,58 +117,83 @@ def features(df: DataFrame, key: Column, text: Column) -> DataFrame:
 
 @dataclass(frozen=True)
 class Estimate:
-    """Share of each class (the clean one first), and its probability of a vote against from each rule that votes."""
+    """Share of each class (the clean one first), and its probabilities of the three votes for each rule."""
 
     shares: list[float]
-    against: list[list[float]]
+    votes: list[list[tuple[float, float, float]]]
 
-    def likelihoods(self, votes: tuple[int, ...]) -> list[float]:
-        """Of each class with these votes, so that they add up to 1."""
-        logs = [log(s) + sum(log(p if v == AGAINST else 1 - p) for p, v in zip(c, votes, strict=True) if v != ABSTAINS) for s, c in zip(self.shares, self.against, strict=True)]
+    def likelihoods(self, pattern: tuple[int, ...]) -> tuple[list[float], float]:
+        """Of each class with these votes, so that they add up to 1; and the logarithm of the pattern's probability."""
+        logs = [log(s) + sum(log(p[v]) for p, v in zip(c, pattern, strict=True)) for s, c in zip(self.shares, self.votes, strict=True)]
         top = max(logs)
         whole = sum(exp(x - top) for x in logs)
-        return [exp(x - top) / whole for x in logs]
+        return [exp(x - top) / whole for x in logs], top + log(whole)
 
     def accuracies(self) -> list[tuple[float, float]]:
-        """Of each rule: how often its vote is for a clean document, and against junk."""
-        junk = sum(self.shares[1:])
-        return [(1 - p, sum(s * c[i] for s, c in zip(self.shares[1:], self.against[1:], strict=True)) / junk) for i, p in enumerate(self.against[0])]
+        """Of each rule: how often its vote, if it gives one, is for a clean document, and against junk."""
+        junk = [sum(s * c[i][v] for s, c in zip(self.shares[1:], self.votes[1:], strict=True)) for i in range(len(self.votes[0])) for v in (AGAINST, FOR)]
+        return [(c[FOR] / (c[FOR] + c[AGAINST]), a / (a + f)) for c, a, f in zip(self.votes[0], junk[::2], junk[1::2], strict=True)]
 
     def posterior(self, votes: Column) -> Column:
-        """The probability that a document is clean, looked up by its pattern of votes."""
-        patterns = product(range(3), repeat=len(self.against[0]))
-        code = F.aggregate(votes, F.lit(0), lambda a, v: a * 3 + v.cast("int"))
-        return F.get(F.lit([self.likelihoods(p)[0] for p in patterns]), code)
-
-
-def expectation_maximisation(patterns: dict[tuple[int, ...], int], rules: int) -> Estimate:
-    """Estimates from how often each pattern of votes occurs; without patterns, what is believed first. Junk comes in
-    kinds that have little in common, so there is one junk class for each rule, which that rule is first believed to
-    find."""
-    first = [[CLEAN] * rules] + [[FOUND if i == kind else OTHER for i in range(rules)] for kind in range(rules)]
-    shares = [FIRST_CLEAN] + [(1 - FIRST_CLEAN) / rules] * rules
-    e = Estimate(shares, first)
+        """The probability that a document is clean."""
+        logs = []
+        for share, rules in zip(self.shares, self.votes, strict=True):
+            at = F.lit(log(share))
+            for i, p in enumerate(rules):
+                at = at + F.get(F.array(*[F.lit(log(x)) for x in p]), F.get(votes, i).cast("int"))
+            logs.append(at)
+        junk = F.lit(0.0)
+        for at in logs[1:]:
+            junk = junk + F.exp(at - logs[0])
+        return 1 / (1 + junk)
+
+
+def _in_order(junk: list[float], clean: list[float]) -> tuple[float, float, float]:
+    """The likeliest probabilities of the three votes whose ratio to the clean class's falls from AGAINST to FOR:
+    neighbours out of order are pooled."""
+    pools: list[tuple[float, float, int]] = []
+    for j, c in zip(junk, clean, strict=True):
+        pools.append((j, c, 1))
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] < pools[-1][0] * pools[-2][1]:
+            (j1, c1, n1), (j2, c2, n2) = pools[-2:]
+            pools[-2:] = [(j1 + j2, c1 + c2, n1 + n2)]
+    ratios = [j / c for j, c, n in pools for _ in range(n)]
+    made = [r * c for r, c in zip(ratios, clean, strict=True)]
+    return made[0] / sum(made), made[1] / sum(made), made[2] / sum(made)
+
+
+def expectation_maximisation(patterns: dict[tuple[int, ...], int], families: list[str]) -> Estimate:
+    """Estimates from how often each pattern of votes occurs, for rules of these families; without patterns, what is
+    believed first."""
+    kinds = sorted(set(families))
+    rules, total = len(families), sum(patterns.values())
+    first = [[CLEAN] * rules] + [[FOUND if f == kind else OTHER for f in families] for kind in kinds]
+    shares = [FIRST_CLEAN] + [(1 - FIRST_CLEAN) / len(kinds)] * len(kinds)
+    e, before = Estimate(shares, first), None
     for _ in range(ROUNDS):
         weight = [FIRST_WEIGHT * s for s in shares]
-        voted = [[FIRST_WEIGHT] * rules for _ in first]
-        accused = [[FIRST_WEIGHT * p for p in c] for c in first]
-        for votes, n in sorted(patterns.items()):
-            for k, p in enumerate(e.likelihoods(votes)):
+        voted = [[[FIRST_WEIGHT * x for x in p] for p in c] for c in first]
+        fit = 0.0
+        for pattern, n in sorted(patterns.items()):
+            share, log_p = e.likelihoods(pattern)
+            fit += n * log_p
+            for k, p in enumerate(share):
                 weight[k] += n * p
-                for i, v in enumerate(votes):
-                    voted[k][i] += n * p * (v != ABSTAINS)
-                    accused[k][i] += n * p * (v == AGAINST)
-        against = [[x / y for x, y in zip(accused[k], voted[k], strict=True)] for k in range(rules + 1)]
-        against[0] = [min(p, MOST_WRONG) for p in against[0]]
-        against[1:] = [[max(p, least) for p, least in zip(c, against[0], strict=True)] for c in against[1:]]
-        e = Estimate([w / sum(weight) for w in weight], against)
+                for counts, v in zip(voted[k], pattern, strict=True):
+                    counts[v] += n * p
+        made = [[tuple(x / sum(p) for x in p) for p in c] for c in voted]
+        made[1:] = [[_in_order(p, clean) for p, clean in zip(c, made[0], strict=True)] for c in made[1:]]
+        e = Estimate([w / sum(weight) for w in weight], made)
+        if before is not None and abs(fit - before) <= CLOSE * total:
+            break
+        before = fit
     return e
 
 
 def estimate(judged: DataFrame) -> Estimate:
     """From ``features``; at most 3 ** len(RULES) rows reach the driver."""
     patterns = {tuple(r["votes"]): r["n"] for r in judged.groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    return expectation_maximisation(patterns, len(RULES))
+    return expectation_maximisation(patterns, [r.family for r in RULES])
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -166,8 +205,9 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: flo
 
 
 def accepted(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows that are kept, as they are. Features are computed twice rather than the rows stored or joined. A
-    condition on the row number keeps the optimiser from copying the features' expressions into the filter."""
+    """The rows that are kept, as they are. Features are computed twice rather than the rows stored or joined, which
+    would cost as much time and a second copy of all texts. A condition on the row number keeps the optimiser from
+    copying the features' expressions into the filter."""
     rows = features(df, F.struct(*[F.col(c) for c in df.columns]), F.col(text)).withColumn("row", F.monotonically_increasing_id())
     quality = estimate(features(df, F.lit(0), F.col(text))).posterior(F.col("votes"))
     return rows.where((F.col("row") >= 0) & ~F.col("base_failed") & (quality >= threshold)).select("key.*")
