@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,23 +40,41 @@ def at_revision(uri: Column, revision: Column) -> Column:
 
 
 def parse(uri: Column) -> Column:
-    """struct(kind, id, secret, revision, error). Parts after the revision are ignored."""
-    parts = F.split(uri, ":")
-    part = lambda i: F.get(parts, F.lit(i))
+    """struct(kind, id, secret, revision, error). Parts after the revision are ignored. Each step's values are computed
+    once and handed to the next."""
     kind = F.when(uri.startswith(_BLOB), "blob").when(uri.startswith(_OBJECT), "object")
-    one = F.substring(uri, len(_BLOB) + 1, 1 << 30)
-    id_ = F.when(kind == "blob", from_base64url(one)).when(kind == "object", from_base64url(part(2)))
+    return _once(F.struct(uri.alias("uri"), kind.alias("kind"), F.split(uri, ":").alias("parts")), lambda x: _once(_decoded(x), _judged))
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _decoded(x: Column) -> Column:
+    kind, parts = x["kind"], x["parts"]
+    part = lambda i: F.get(parts, F.lit(i))
+    one = F.when(kind == "blob", F.substring(x["uri"], len(_BLOB) + 1, 1 << 30)).when(kind == "object", part(2))
     secret = F.when(kind == "object", from_base64url(F.coalesce(part(3), F.lit("?"))))
     revision = F.when(kind == "object", F.when(part(4).rlike(r"^\+?[0-9]+$"), part(4)).try_cast("bigint"))
+    return F.struct(x["uri"].alias("uri"), kind.alias("kind"), F.size(parts).alias("parts"), from_base64url(one).alias("id"), secret.alias("secret"), revision.alias("revision"))
+
+
+def _judged(x: Column) -> Column:
+    uri, kind, parts, id_, secret, revision = (x[c] for c in ("uri", "kind", "parts", "id", "secret", "revision"))
     error = (
         F.when(~uri.startswith(f"{URI_SCHEME}:"), "scheme")
         .when(kind.isNull(), "type")
-        .when((kind == "object") & (F.size(parts) < 4), "component")
+        .when((kind == "object") & (parts < 4), "component")
         .when(id_.isNull(), "base64")
         .when(F.octet_length(id_) != 32, "length")
         .when((kind == "object") & secret.isNull(), "base64")
         .when((kind == "object") & (F.octet_length(secret) != 32), "length")
-        .when((kind == "object") & (F.size(parts) > 4) & revision.isNull(), "revision")
+        .when((kind == "object") & (parts > 4) & revision.isNull(), "revision")
     )
-    good = lambda v: F.when(error.isNull(), v)
-    return F.struct(good(kind).alias("kind"), good(id_).alias("id"), good(secret).alias("secret"), good(revision).alias("revision"), error.alias("error"))
+
+    def made(e: Column) -> Column:
+        good = lambda v: F.when(e.isNull(), v)
+        return F.struct(good(kind).alias("kind"), good(id_).alias("id"), good(secret).alias("secret"), good(revision).alias("revision"), e.alias("error"))
+
+    return _once(error, made)

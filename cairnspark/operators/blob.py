@@ -89,15 +89,19 @@ def dag(refs: DataFrame, ids: DataFrame, key: str, profile: str = "builtin") ->
     return out.select(key, "blob_id", root.alias("root"), F.col("blob_size").alias("size"), F.coalesce(F.size("children"), F.lit(0)).cast("int").alias("chunk_count"), "node")
 
 
-def read(refs: DataFrame, store: DataFrame, key: str, profile: str = "builtin") -> DataFrame:
+def read(refs: DataFrame, store: DataFrame, key: str, profile: str = "builtin", blobs: DataFrame | None = None) -> DataFrame:
     """(key, data): chunks are fetched by hash, checked against their key, opened, checked against their id, and put
-    together by offset. A chunk that is missing or does not fit is an error."""
+    together by offset. A chunk that is missing or does not fit is an error. ``blobs``, rows by key, names the blobs to
+    read: one without chunks is empty. Without it, blobs are those of ``refs``."""
     p = PROFILES[profile]
     got = refs.select(key, "blob_id", "ord", "offset", "chunk_id", "ciphertext_hash").join(store, "ciphertext_hash", "left")
     got = got.withColumn("plain", p.open(F.col("stored"), F.col("blob_id"), F.col("chunk_id")))
     fault = F.when(F.col("stored").isNull(), "missing chunk").when(p.hash(F.col("stored")) != F.col("ciphertext_hash"), "stored bytes differ").when(F.col("plain").isNull(), "cannot be opened").when(p.hash(F.col("plain")) != F.col("chunk_id"), "content differs")
     got = got.withColumn("fault", fault).withColumn("plain", F.when(F.col("fault").isNotNull(), F.raise_error(F.col("fault")).cast("binary")).otherwise(F.col("plain")))
-    return got.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("offset", "plain"))).alias("l")).select(key, F.aggregate(F.transform("l", lambda x: x["plain"]), F.lit(b""), lambda a, x: F.concat(a, x)).alias("data"))
+    whole = got.groupBy(key).agg(F.expr("listagg(plain) WITHIN GROUP (ORDER BY offset)").alias("data"))
+    if blobs is None:
+        return whole
+    return blobs.select(key).distinct().join(whole, key, "left").select(key, F.coalesce("data", F.lit(b"")).alias("data"))
 
 
 def read_range(refs: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
@@ -107,7 +111,7 @@ def read_range(refs: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     first = F.greatest(F.col("start") - F.col("offset"), F.lit(0))
     last = F.least(F.col("stop") - F.col("offset"), F.col("size"))
     hit = hit.select(key, "start", "stop", "offset", F.substring(F.col("bytes"), (first + 1).cast("int"), (last - first).cast("int")).alias("part"))
-    return hit.groupBy(key, "start", "stop").agg(F.sort_array(F.collect_list(F.struct("offset", "part"))).alias("l")).select(key, "start", "stop", F.aggregate("l", F.lit(b""), lambda a, x: F.concat(a, x["part"])).alias("data"))
+    return hit.groupBy(key, "start", "stop").agg(F.expr("listagg(part) WITHIN GROUP (ORDER BY offset)").alias("data"))
 
 
 def write_range(data: Column, offset: Column, new: Column) -> Column:

@@ -69,17 +69,17 @@ def listing(inodes: DataFrame, offset: int = 0, most: int | None = None) -> Data
     return out if most is None else out.where(F.col("place") < offset + most)
 
 
-def paths(inodes: DataFrame, depth: int = 32) -> DataFrame:
-    """(inode, path, level): one equi-join for each level of the tree."""
+def paths(inodes: DataFrame) -> DataFrame:
+    """(inode, path, level): one equi-join for each level of the tree, until no child is left. Inodes that no path from a
+    root reaches have no row, so a cycle ends nothing."""
     level = inodes.where(F.col("inode") == F.col("parent")).select("inode", F.lit("").alias("path"), F.lit(0).alias("level"))
     out = level
     edges = inodes.where(F.col("inode") != F.col("parent")).select("inode", "parent", "name")
-    for _ in range(depth):
+    while True:
         level = level.select(F.col("inode").alias("parent"), "path", "level").join(edges, "parent").select("inode", F.concat("path", F.lit("/"), "name").alias("path"), (F.col("level") + 1).alias("level"))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def from_paths(df: DataFrame, path: Column, size: Column) -> DataFrame:

@@ -62,7 +62,7 @@ def repair_candidates(tasks: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     from .routing import nearest
 
     pairs = tasks.select("chunk", F.explode("existing_holders").alias("holder"))
-    most = DEFAULT_REPLICAS + k  # the nearest k non-holders are among the nearest k + holders
+    most = k + (tasks.agg(F.max(F.size("existing_holders"))).first()[0] or 0)  # the nearest k others are among the nearest k + holders
     near = nearest(tasks.select(F.col("chunk").alias("target"), "id"), nodes.select(F.col("holder").alias("node"), "id"), most)
     left = near.select(F.col("target").alias("chunk"), F.col("node").alias("holder"), "rank").join(pairs, ["chunk", "holder"], "left_anti")
     order = Window.partitionBy("chunk").orderBy("rank")

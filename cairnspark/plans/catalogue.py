@@ -315,11 +315,11 @@ def _ingested(spark: SparkSession, sf: str, profile: str) -> tuple[DataFrame, Da
 
 
 def _round_trip(spark: SparkSession, sf: str, profile: str) -> DataFrame:
-    refs, _ = _ingested(spark, sf, profile)
-    return blob.read(refs, blob.stored_chunks(refs), "doc_id", profile).select("doc_id", F.decode("data", "UTF-8").alias("text"))
+    refs, blobs = _ingested(spark, sf, profile)
+    return blob.read(refs, blob.stored_chunks(refs), "doc_id", profile, blobs).select("doc_id", F.decode("data", "UTF-8").alias("text"))
 
 
-_TEXTS = "SELECT doc_id, text FROM documents WHERE strlen(text) > 0"
+_TEXTS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 
 
 @plan(_TEXTS)
@@ -335,8 +335,8 @@ def convergent_roundtrip_aes(spark, sf):
 @plan(_TEXTS)
 def conformant_roundtrip(spark, sf):
     docs = A.table(spark, sf, "documents")
-    refs, _ = blob.ingest(cdc.chunks(docs, "doc_id", _data()), docs, "doc_id", _data(), "conformant")
-    return blob.read(refs, blob.stored_chunks(refs), "doc_id", "conformant").select("doc_id", F.decode("data", "UTF-8").alias("text"))
+    refs, blobs = blob.ingest(cdc.chunks(docs, "doc_id", _data()), docs, "doc_id", _data(), "conformant")
+    return blob.read(refs, blob.stored_chunks(refs), "doc_id", "conformant", blobs).select("doc_id", F.decode("data", "UTF-8").alias("text"))
 
 
 def _le_hex(x: str, width: int) -> str:
@@ -550,7 +550,11 @@ def _drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/cairnspark-streams"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
+        base = f"file://{tempfile.gettempdir()}/cairnspark-streams"
     name = f"stream_{uuid.uuid4().hex}"
     return ingest.drained(df, name, mode, f"{base}/{name}")
 

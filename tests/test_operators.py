@@ -201,3 +201,39 @@ def test_lookup_ends_when_all_of_the_nearest_were_asked(spark):
     start = spark.createDataFrame([(25, words(25))], "node long, id array<bigint>")
     chain = spark.createDataFrame([(n, n - 1, words(n - 1)) for n in range(1, 26)], "node long, neighbour long, neighbour_id array<bigint>")
     assert [tuple(r) for r in routing.lookup(target, start, chain, k=2, alpha=1).orderBy("rank").collect()] == [(0, 1), (1, 2)]
+
+
+def test_paths_of_a_deep_tree_and_of_a_cycle(spark):
+    rows = [(1, 1, "")] + [(i, i - 1, f"n{i}") for i in range(2, 37)] + [(90, 91, "a"), (91, 90, "b")]
+    got = {r.inode: (r.path, r.level) for r in namespace.paths(spark.createDataFrame(rows, "inode long, parent long, name string")).collect()}
+    assert len(got) == 36 and got[36] == ("".join(f"/n{i}" for i in range(2, 37)), 35)
+
+
+def test_nearest_equals_brute_force(spark):
+    r = random.Random(6)
+    whole = lambda: [r.randrange(2**32) for _ in range(8)]
+    for nodes in ([whole() for _ in range(300)], [[0, 0, 5, *[0] * 4, r.randrange(9)] for _ in range(40)] + [whole() for _ in range(5)], [whole()]):
+        targets = [whole() for _ in range(20)] + [[0, 0, 5, *[0] * 5]]
+        as_df = lambda rows, name: spark.createDataFrame(list(enumerate(rows)), f"{name} long, id array<bigint>")
+        got = {}
+        for x in routing.nearest(as_df(targets, "target"), as_df(nodes, "node"), 4).collect():
+            got.setdefault(x.target, {})[x.rank] = x.node
+        for t, words in enumerate(targets):
+            want = sorted(range(len(nodes)), key=lambda n: ([a ^ b for a, b in zip(words, nodes[n])], n))[:4]
+            assert [got[t][i + 1] for i in range(len(want))] == want
+
+
+def test_candidates_under_a_policy_with_many_holders(spark):
+    """A chunk at risk that has four holders, the four nearest nodes."""
+    words = lambda n: [0] * 7 + [n]
+    tasks = spark.createDataFrame([(1, words(0), [1, 2, 3, 4]), (2, words(8), [8])], "chunk long, id array<bigint>, existing_holders array<bigint>")
+    nodes = spark.createDataFrame([(n, words(n)) for n in range(1, 12)], "holder long, id array<bigint>")
+    got = sorted((r.chunk, r.rank, r.holder) for r in resilience.repair_candidates(tasks, nodes, 2).collect())
+    assert got == [(1, 1, 5), (1, 2, 6), (2, 1, 9), (2, 2, 10)]
+
+
+def test_empty_blobs_are_read(spark):
+    docs = spark.createDataFrame([(1, b"abc"), (2, b""), (3, b"x" * 1500)], "doc_id long, data binary")
+    refs, blobs = blob.ingest(cdc.fixed_chunks(docs, "doc_id", F.col("data"), 512), docs, "doc_id", F.col("data"))
+    got = {r.doc_id: bytes(r.data) for r in blob.read(refs, blob.stored_chunks(refs), "doc_id", "builtin", blobs).collect()}
+    assert got == {1: b"abc", 2: b"", 3: b"x" * 1500}
