@@ -1,7 +1,8 @@
 """Stores as Parquet tables in a folder: chunks, tree nodes, blob metadata and manifest history.
 
 Appends are anti-joined with what is there, so that putting twice is the same as once; deletes write the rest to a new
-folder of the table and then switch to it by renaming, so that a reader never sees half a table.
+folder of the table and then move the pointer that readers follow, by a rename that replaces it in one step; stores whose
+rename is a copy (some object stores) do not give that.
 """
 
 from __future__ import annotations
@@ -54,25 +55,51 @@ class KeyedTable:
         self._jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._fs = self._jvm.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _current(self) -> str | None:
+        """The folder that the pointer names."""
+        pointer = self._jvm.Path(f"{self.path}/_current")
+        if not self._fs.exists(pointer):
+            return None
+        stream = self._fs.open(pointer)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _point(self, folder: str) -> None:
+        """Moves the pointer in one step."""
+        new = self._jvm.Path(f"{self.path}/_{uuid.uuid4().hex}")
+        out = self._fs.create(new, False)
+        out.write(bytearray(folder.encode()))
+        out.close()
+        context = self._jvm.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        how = self.spark.sparkContext._gateway.new_array(self._jvm.Options.Rename, 1)
+        how[0] = self._jvm.Options.Rename.valueOf("OVERWRITE")
+        context.rename(new, self._jvm.Path(f"{self.path}/_current"), how)
+
     def read(self) -> DataFrame:
-        if not self._fs.exists(self._jvm.Path(self.path)):
+        folder = self._current()
+        if folder is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}")
 
     def put(self, rows: DataFrame) -> None:
         """Adds the rows whose key is not there yet."""
         new = rows.select(self.schema.fieldNames()).dropDuplicates(self.keys)
-        new.join(self.read().select(self.keys), self.keys, "left_anti").write.mode("append").parquet(self.path)
+        folder = self._current() or uuid.uuid4().hex
+        new.join(self.read().select(self.keys), self.keys, "left_anti").write.mode("append").parquet(f"{self.path}/{folder}")
+        if self._current() is None:
+            self._point(folder)
 
     def replace(self, rows: DataFrame) -> None:
-        """Makes ``rows`` the whole table."""
-        new, old = f"{self.path}.{uuid.uuid4().hex}", f"{self.path}.{uuid.uuid4().hex}"
-        rows.select(self.schema.fieldNames()).write.parquet(new)
-        path = self._jvm.Path
-        if self._fs.exists(path(self.path)):
-            self._fs.rename(path(self.path), path(old))
-        self._fs.rename(path(new), path(self.path))
-        self._fs.delete(path(old), True)
+        """Makes ``rows`` the whole table: they are written to a folder of their own, then the pointer moves. The folder
+        before stays for those who read it, until the next time."""
+        old, new = self._current(), uuid.uuid4().hex
+        rows.select(self.schema.fieldNames()).write.parquet(f"{self.path}/{new}")
+        self._point(new)
+        for entry in self._fs.listStatus(self._jvm.Path(self.path)):
+            if entry.isDirectory() and entry.getPath().getName() not in (old, new):
+                self._fs.delete(entry.getPath(), True)
 
     def delete(self, gone: DataFrame) -> None:
         """Removes the rows of the given keys; keys that are not there do no harm."""
