@@ -10,16 +10,18 @@ message row before them.
   it are ``duplicate``, further results ``repeated``. A call without a result is ``unanswered``, a result without a
   call ``orphan``. Hot identifiers are pre-aggregated, and what has no identifier is not joined at all.
 * Order: (conversation, place, depth, turn, part) is a topological order of messages, calls and results: a result's
-  place is its own turn or, if that comes first, its call's, after the call. No window over a conversation is needed.
+  place is its own turn or, if that comes first, its call's, after the call. Results depend on one call and calls on
+  nothing, so two sort columns place all and no window over a conversation is needed.
 * Validation: arguments must be an object with all required parameters, each of its type, and no others.
-* JSON: keys in order of code points at all levels, no white space, null members of the message left out. Other members
+* JSON: keys in order of their UTF-16 units at all levels (as RFC 8785 has it), no white space, null members of the message left out. Other members
   of a message, call, function or result are kept in its JSON, under ``extra`` if their name is taken by another value; of
   an object that cannot be read as a whole (a key twice, text after it) the text is kept as ``raw``.
 
 All of it is DataFrame functions. Null text is an empty message; null roles stay null and are left out of the JSON; rows
 without a conversation or turn are formatted but their calls and results link with nothing. Empty tables give
-empty results; other columns are ignored, whatever their names; repeated rows are formatted each, repeated calls
-count as duplicates of one.
+empty results; other columns are ignored, whatever their names; repeated rows are formatted each, and as they are the
+same call or result, all have its status; a second call of an identifier at another place is a duplicate. Arguments with
+a key twice are no object. Very long texts are parsed whole, one row at a time.
 """
 
 from __future__ import annotations
@@ -76,7 +78,8 @@ def _members(value: Column, known: Column) -> Column:
 
 def _object(entries: Column) -> Column:
     """An object of (key, JSON) entries, sorted by key."""
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat(_quoted(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
+    keyed = F.transform(entries, lambda e: F.struct(F.encode(e["k"], "UTF-16BE").alias("at"), e["k"].alias("k"), e["v"].alias("v")))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(keyed), lambda e: F.concat(_quoted(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
 
 
 def _names(*names: str) -> Column:
@@ -170,3 +173,28 @@ SELECT conv_id, turn, 0 AS part, 'message' AS kind, CAST(NULL AS VARCHAR) AS cal
            || coalesce(',"role":' || CAST(to_json(role) AS VARCHAR), '') || '}' AS json
 FROM conversations
 """
+
+
+def with_calls(conversations: DataFrame) -> DataFrame:
+    """Conversations of tool calls (even turns) and results (odd turns) made from the turns of others: identifiers that come
+    again, results before their call or without one, arguments right and wrong, unknown tools."""
+    turn, text = F.col("turn"), lambda x: x.cast("string")
+    name = F.when(turn % 3 == 2, "none").otherwise("search")
+    arguments = F.when(turn % 3 == 0, '{"query":"q"}').otherwise('{"limit":"3"}')
+    call = F.concat(F.lit('{"tool_calls":[{"id":"c'), text(turn % 6), F.lit('","name":"'), name, F.lit('","arguments":'), arguments, F.lit("}]}"))
+    result = F.concat(F.lit('{"tool_call_id":"c'), text((turn + 1) % 8), F.lit('","content":"r"}'))
+    even = turn % 2 == 0
+    return conversations.select("conv_id", "turn", F.when(even, "assistant").otherwise("tool").alias("role"), F.when(even, call).otherwise(result).alias("text"))
+
+
+LINKS_SQL = """
+WITH p AS (SELECT conv_id, turn, turn % 2 = 0 AS is_call, CASE WHEN turn % 2 = 0 THEN 'c' || CAST(turn % 6 AS VARCHAR) ELSE 'c' || CAST((turn + 1) % 8 AS VARCHAR) END AS call_id FROM conversations),
+k AS (SELECT conv_id, call_id, min(turn) FILTER (is_call) AS first_call, min(turn) FILTER (NOT is_call) AS answer FROM p GROUP BY ALL)
+SELECT conv_id, turn, 0 AS part, CASE WHEN is_call THEN 'call' ELSE 'result' END AS kind, call_id,
+       CASE WHEN is_call AND turn <> first_call THEN 'duplicate' WHEN is_call AND answer IS NOT NULL THEN 'answered' WHEN is_call THEN 'unanswered'
+            WHEN first_call IS NULL THEN 'orphan' WHEN answer <> turn THEN 'repeated' ELSE 'linked' END AS status,
+       CASE WHEN NOT is_call OR turn % 3 = 0 THEN '' WHEN turn % 3 = 1 THEN 'missing query; type limit' ELSE 'unknown tool' END AS errors,
+       CASE WHEN NOT is_call AND first_call IS NOT NULL THEN greatest(turn, first_call) ELSE turn END AS place,
+       CASE WHEN is_call THEN 1 ELSE 2 END AS depth
+FROM p JOIN k USING (conv_id, call_id)
+"""

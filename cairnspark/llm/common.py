@@ -26,8 +26,13 @@ def words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see; below spark.checkpoint.dir where the cluster names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/cairnspark-shared"
+    """A new folder that the driver and all executors see, below spark.checkpoint.dir. Only where driver and executors are
+    one process may that be unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
+        base = f"file://{tempfile.gettempdir()}/cairnspark-shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -28,6 +28,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
 
+def tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linking, order and validation, on calls and results made from all conversations."""
+    return chat.formatted(chat.with_calls(table(spark, sf_dir, "conversations"))).drop("json")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -63,8 +68,9 @@ _ALL = (
     op8_secret_scan,
     op9_sharding,
     op10_inner_product_search,
+    tool_call_links,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": chat.SQL, "tool_call_links": chat.LINKS_SQL}

@@ -1,4 +1,6 @@
 import json
+import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -96,3 +98,49 @@ def test_nothing_beside_calls_is_lost(spark):
         (5, 1): {"arguments": {}, "id": "c6", "name": "none", "role": "assistant"},
     }
     assert {k: (r.kind, r.status, r.errors) for k, r in rows.items() if k[0] < 2} == {(0, 0): ("message", "message", ""), (0, 1): ("call", "answered", ""), (0, 2): ("call", "unanswered", ""), (1, 0): ("result", "linked", "")}
+
+
+def linked_by_hand(rows):
+    """Status, place and errors of calls and results, by a plain loop."""
+    calls, results = {}, {}
+    for c, t, role, i, _ in rows:
+        at = calls if role == "assistant" else results
+        at[c, i] = min(at.get((c, i), t), t)
+    out = Counter()
+    for c, t, role, i, kind in rows:
+        first, answer = calls.get((c, i)), results.get((c, i))
+        if role == "assistant":
+            status = "duplicate" if t != first else "unanswered" if answer is None else "answered"
+            out[c, t, i, status, t, ("", "missing query; type limit", "unknown tool", "no object")[kind]] += 1
+        else:
+            status = "orphan" if first is None else "repeated" if answer != t else "linked"
+            out[c, t, i, status, t if first is None else max(t, first), ""] += 1
+    return out
+
+
+def test_links_equal_a_plain_linker(spark):
+    r = random.Random(8)
+    calls = ['"name":"search","arguments":{"query":"q"}', '"name":"search","arguments":{"limit":"3"}', '"name":"none","arguments":{}', '"name":"search","arguments":[1]']
+    rows = [(r.randrange(1500), r.randrange(9), r.choice(("assistant", "tool")), f"c{r.randrange(4)}", r.randrange(4)) for _ in range(9000)]
+    rows += [(-1, i, r.choice(("assistant", "tool")), "hot", 0) for i in range(600)]  # one identifier of very many
+    text = lambda role, i, k: f'{{"tool_calls":[{{"id":"{i}",{calls[k]}}}]}}' if role == "assistant" else f'{{"tool_call_id":"{i}","content":"x"}}'
+    df = spark.createDataFrame([(c, t, role, text(role, i, k)) for c, t, role, i, k in rows], "conv_id long, turn long, role string, text string")
+    got = Counter((x.conv_id, x.turn, x.call_id, x.status, x.place, x.errors) for x in chat.formatted(df).collect())
+    assert got == linked_by_hand(rows)
+
+
+def test_links_equal_sql(spark):
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    df = chat.formatted(chat.with_calls(table)).drop("json")
+    assert "Join" in df._jdf.queryExecution().executedPlan().toString()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    rel = con.sql(chat.LINKS_SQL)
+    assert sorted(map(str, map(tuple, df.select(rel.columns).collect()))) == sorted(map(str, rel.fetchall()))
+
+
+def test_keys_are_in_order_of_utf16_units(spark):
+    text = json.dumps({"tool_calls": [{"id": "c", "name": "none", "\uffff": 1, "😀": 2, "arguments": {"\uffff": 1, "😀": 2}}]})
+    df = spark.createDataFrame([(1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    got = chat.formatted(df).first().json
+    assert got == '{"arguments":{"😀":2,"\uffff":1},"id":"c","name":"none","role":"assistant","😀":2,"\uffff":1}'
