@@ -23,15 +23,15 @@ def test_append_compact_vacuum(spark, store, monkeypatch):
     assert store.append(docs.where("doc_id % 2 = 0"), 10) == 1
     assert store.append(docs.where("doc_id % 2 = 1"), 10) == 2
     before = store.shards()
-    assert rows(store.read(1).drop("_shard")) == rows(docs.where("doc_id % 2 = 0"))
+    assert rows(store.read(1)) == rows(docs.where("doc_id % 2 = 0"))
     version = store.compact()
     after = store.shards()
     assert version == store.version() > 2 and len(after) < len(before) / 2
-    assert not store.runs(after) and all(s.bytes < 3 * store.target for s in after)
-    assert rows(store.read().drop("_shard")) == rows(docs)
-    assert rows(store.read(2).drop("_shard")) == rows(docs)  # the old version still stands
+    assert not store.runs(after) and all(s.bytes < 1.5 * store.target for s in after) and len(after) > 2
+    assert rows(store.read()) == rows(docs)
+    assert rows(store.read(2)) == rows(docs)  # the old version still stands
     store.vacuum()
-    assert rows(store.read().drop("_shard")) == rows(docs)
+    assert rows(store.read()) == rows(docs)
 
 
 def test_runs_merge_similar_sizes_up_to_the_target(store):
@@ -43,13 +43,25 @@ def test_runs_merge_similar_sizes_up_to_the_target(store):
 def test_only_one_writer_commits_a_version(spark, store):
     store.append(spark.range(3).toDF("doc_id"))
     schema = store.manifest()["schema"]
-    assert store.commit(1, schema, []) and not store.commit(1, schema, store.shards(1))
+    assert store.commit(1, schema, [], []) and not store.commit(1, schema, store.manifest(1)["small"], [])
     assert store.version() == 2 and store.shards() == []
 
 
 def test_rows_come_through(spark):
-    df = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (2, "", "b"), (None, "é" * 9000, "c")], "doc_id long, text string, shard string")
+    df = spark.createDataFrame([(1, None, "a", 1, 2), (1, None, "a", 1, 2), (2, "", "b", 1, 2), (None, "é" * 9000, "c", 1, 2)], "doc_id long, text string, shard string, _shard int, path int")
     got = sharding.shard(df)
     assert Counter((r.doc_id, r.n_bytes) for r in got.collect()) == Counter([(1, None), (1, None), (2, 0), (None, 18_000)])
     assert got.columns == ["doc_id", "n_bytes", "shard", "version"]
     assert sharding.shard(df.limit(0)).count() == 0
+
+
+def test_lists_of_full_shards_are_left_alone(spark, store, monkeypatch):
+    monkeypatch.setattr(sharding, "LOWEST", 8000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    store.append(docs, 10)
+    store.compact()
+    full = store.manifest()["full"]
+    store.append(docs.where("doc_id % 3 = 0"), 10)
+    store.compact()
+    assert full and store.manifest()["full"][: len(full)] == full
+    assert rows(store.read()) == rows(docs) + rows(docs.where("doc_id % 3 = 0"))
