@@ -39,6 +39,14 @@ def live(expires_at: Column, as_of: Column) -> Column:
     return expires_at > as_of
 
 
+def before(a: Column, b: Column) -> Column:
+    return a < b
+
+
+def after(a: Column, b: Column) -> Column:
+    return a > b
+
+
 def kept(stored_at: Column, as_of: Column, ttl: int = RECORD_TTL_MS) -> Column:
     return as_of - stored_at < ttl
 

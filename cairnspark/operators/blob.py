@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BLOB_KEY, CHUNK_KEY, CHUNK_NONCE, EMPTY_DAG_REF, HASH, TAG
 from ..functions import crypto
-from ..functions.encoding import chunk_ref, internal_node, leaf_node
+from ..functions.encoding import internal_node, leaf_node, parse_node
 from ..functions.hashing import blake3
 from ..functions.ids import sha256_id
 
@@ -104,6 +104,31 @@ def read(refs: DataFrame, store: DataFrame, key: str, profile: str = "builtin",
     return blobs.select(key).distinct().join(whole, key, "left").select(key, F.coalesce("data", F.lit(b"")).alias("data"))
 
 
+def node_rows(refs: DataFrame, profile: str = "builtin") -> DataFrame:
+    """(ref, kind, node) of the leaves of refs, each once."""
+    return leaves(refs, profile).select("ref", F.lit(0).alias("kind"), "node").dropDuplicates(["ref"])
+
+
+def read_objects(roots: DataFrame, nodes: DataFrame, store: DataFrame, opened: Callable[[Column, Column, Column], Column], hashed: Callable[[Column], Column] = sha256_id) -> DataFrame:
+    """(object, data): the content of objects (object, root) of manifests. Trees (ref, node) are walked level by level, their
+    leaves join the stored chunks by hash, and ``opened`` (stored form, object, chunk id) gives the plain bytes. An object
+    without content is empty; a missing node or chunk, or one that does not fit its id, is an error."""
+    known = nodes.select("ref", parse_node(F.col("node")).alias("n")).select("ref", F.col("n.kind").alias("kind"), "n.children", "n.chunk")
+    found = walk(known.select("ref", "kind", "children"), roots.select("root").distinct()).where("kind = 0")
+    chunks = found.join(known.select("ref", "chunk"), "ref").select("root", "path", "chunk.*")
+    got = roots.select("object", "root").join(chunks, "root").join(store, "ciphertext_hash", "left")
+    got = got.withColumn("plain", opened(F.col("stored"), F.col("object"), F.col("chunk_id")))
+    fault = F.when(F.col("stored").isNull(), "missing chunk").when(hashed(F.col("stored")) != F.col("ciphertext_hash"), "stored bytes differ").when(F.col("plain").isNull(), "cannot be opened").when(hashed(F.col("plain")) != F.col("chunk_id"), "content differs")
+    got = got.withColumn("fault", fault).withColumn("plain", F.when(F.col("fault").isNotNull(), F.raise_error(F.col("fault")).cast("binary")).otherwise(F.col("plain")))
+    whole = got.groupBy("object").agg(F.expr("listagg(plain) WITHIN GROUP (ORDER BY offset)").alias("data"))
+    return roots.select("object").distinct().join(whole, "object", "left").select("object", F.coalesce("data", F.lit(b"")).alias("data"))
+
+
+def is_empty(root: Column) -> Column:
+    """The tree has no content."""
+    return root == F.lit(EMPTY_DAG_REF)
+
+
 def read_range(refs: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     """(key, start, stop, data) of byte ranges (key, start, stop), from plain chunks (key, offset, size, bytes). The join has
     the blob's key; only chunks that the range touches are taken."""

@@ -57,6 +57,12 @@ def sequential(accesses: DataFrame, depth: int = 8, least: int = 2) -> DataFrame
     return accesses.withColumn("history", F.count("*").over(w)).withColumn("is_sequential", F.col("history") >= least)
 
 
+def history(accesses: DataFrame, depth: int = 8) -> DataFrame:
+    """Accesses with ``recent``, the items of the last ``depth``, oldest first, this one included."""
+    w = Window.partitionBy("cache").orderBy("seq").rowsBetween(-(depth - 1), 0)
+    return accesses.withColumn("recent", F.collect_list("item").over(w))
+
+
 def recency(accesses: DataFrame) -> DataFrame:
     """(cache, item, last_seq, rank): least recently used first."""
     last = accesses.groupBy("cache", "item").agg(F.max("seq").alias("last_seq"))

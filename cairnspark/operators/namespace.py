@@ -82,6 +82,31 @@ def paths(inodes: DataFrame) -> DataFrame:
         out = out.unionByName(level)
 
 
+def new_inode(inode: Column, parent: Column, name: Column, kind: Column, moment: Column) -> Column:
+    """The attributes a new inode starts with: files are 0644 with one link, directories 0755 with two."""
+    d = kind == "directory"
+    mode = F.when(d, DIRECTORY | 0o755).otherwise(FILE | 0o644)
+    return F.struct(inode.alias("inode"), parent.alias("parent"), name.alias("name"), kind.alias("kind"), mode.alias("mode"), F.when(d, 2).otherwise(1).alias("nlink"), F.lit(0).cast("bigint").alias("size"), moment.alias("created_at"), moment.alias("modified_at"))
+
+
+def handles(log: DataFrame) -> DataFrame:
+    """(mount, handle, inode, read, write, opened, released) of a log (mount, seq, op, inode, handle, read, write): each open
+    gets the mount's next number, from 1; ``released`` is the first release of that number after it, null while open."""
+    opens = log.where("op = 'open'").withColumn("handle", F.row_number().over(Window.partitionBy("mount").orderBy("seq")).cast("bigint")).withColumnRenamed("seq", "opened")
+    ends = log.where("op = 'release'").select("mount", "handle", F.col("seq").alias("_end"))
+    out = opens.select("mount", "handle", "inode", "read", "write", "opened").join(ends, ["mount", "handle"], "left")
+    after = F.when(F.col("_end") > F.col("opened"), F.col("_end"))
+    return out.groupBy("mount", "handle", "inode", "read", "write", "opened").agg(F.min(after).alias("released"))
+
+
+def written(inodes: DataFrame, writes: DataFrame) -> DataFrame:
+    """Inodes after ``writes`` (inode, offset, bytes): a file ends where its farthest write ends, if that is beyond its
+    end; writes to directories do nothing."""
+    ends = writes.groupBy("inode").agg(F.max(F.col("offset") + F.col("bytes")).alias("_end"))
+    size = F.when(F.col("kind") == "file", F.greatest("size", "_end")).otherwise(F.col("size"))
+    return inodes.join(ends, "inode", "left").withColumn("size", size).select(inodes.columns)
+
+
 def from_paths(df: DataFrame, path: Column, size: Column) -> DataFrame:
     """(dir, name, kind, size): every directory on the way to each path, and the paths as files."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")

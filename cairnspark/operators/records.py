@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MAX_HOLDERS, MAX_RECORD_BYTES, MAX_SKEW_MS, RECORD_TTL_MS
-from ..functions.crypto import record_mac
+from ..functions import encoding
+from ..functions.crypto import record_mac, signature_valid, signed
+from ..functions.ids import sha256_id
 from ..functions.timing import kept, live, within_skew
 
 
@@ -72,3 +76,47 @@ def stats(records: DataFrame, kind: str = "kind") -> DataFrame:
 
 def record_key(node_id: Column, object_id: Column, ciphertext_hash: Column) -> Column:
     return F.coalesce(node_id, object_id, ciphertext_hash)
+
+
+# --- what signers vouch for
+
+
+def node_announcement(seed: Column, body: Column) -> Column:
+    """A node's announcement from struct(node_id, timestamp, addresses, services, public_key), signed with its key."""
+    return F.struct(*[body[c].alias(c) for c in ("node_id", "timestamp", "addresses", "services", "public_key")], signed(seed, encoding.node_body(body)).alias("signature"))
+
+
+def node_reason(a: Column, hashed: Callable[[Column], Column] = sha256_id) -> Column:
+    """Why an announcement does not hold; null if it does: the id is the hash of the key, and the key signed the rest."""
+    return F.when(~(a["node_id"] == hashed(a["public_key"])), "identity").when(~signature_valid(a["public_key"], encoding.node_body(a), a["signature"]), "signature")
+
+
+def signed_lease(body: Column, issuer_seed: Column, holder_seed: Column) -> Column:
+    encoded = encoding.lease_body(body)
+    return F.struct(body.alias("body"), signed(issuer_seed, encoded).alias("issuer_signature"), signed(holder_seed, encoded).alias("holder_signature"))
+
+
+def lease_reason(x: Column, issuer_key: Column, holder_key: Column) -> Column:
+    """Why a lease does not hold; null if both sides have signed it."""
+    body = encoding.lease_body(x["body"])
+    return F.when(~signature_valid(issuer_key, body, x["issuer_signature"]), "issuer").when(~signature_valid(holder_key, body, x["holder_signature"]), "holder")
+
+
+def improved(stored: DataFrame, offered: DataFrame, keys: list[str], quality: list[str], valid: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stored``, one row a key, after ``offered`` rows: only those that would win are judged by ``valid``, which costs a
+    signature each; the best valid one takes the place."""
+    now = stored.select(*keys, F.struct(*quality).alias("_now"))
+    could = offered.join(now, keys, "left").where(F.col("_now").isNull() | (F.struct(*quality) > F.col("_now"))).drop("_now")
+    return superseded(stored.unionByName(valid(could).select(stored.columns)), keys, quality)
+
+
+def get(asked: DataFrame, nodes: DataFrame, manifests: DataFrame, holders: DataFrame, network_key: bytes) -> DataFrame:
+    """(request, kind, key, body, mac): typed gets of ``asked`` (request, kind, key), kind being node, manifest or holders.
+    Nodes and manifests (key, body, mac) come as stored; holder sets (key, body) are authenticated anew, as merging has
+    changed them. ``body`` is the encoded record body, null where nothing is stored."""
+    anew = holders.select("key", "body").withColumn("mac", record_mac(network_key, F.col("body")))
+    every = None
+    for kind, side in (("node", nodes), ("manifest", manifests), ("holders", anew)):
+        part = side.select(F.lit(kind).alias("kind"), "key", "body", "mac")
+        every = part if every is None else every.unionByName(part)
+    return asked.select("request", "kind", "key").join(every, ["kind", "key"], "left").select("request", "kind", "key", "body", "mac")

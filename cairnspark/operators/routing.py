@@ -92,6 +92,70 @@ def replay(sightings: DataFrame, size: int = K) -> DataFrame:
     return rows.mapInArrow(run, "bucket long, node long, place long, kind string")
 
 
+# Maintenance of bucket tables (bucket, node, place, kind, last_seen, failures), ``kind`` being "node" or "replacement" and
+# ``place`` the order within a kind, least recently seen first.
+
+
+def _placed(entries: DataFrame, *order: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("bucket", "kind").orderBy(*order)) - 1
+    return entries.withColumn("place", place.cast("int")).select("bucket", "node", "place", "kind", "last_seen", "failures")
+
+
+def get(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """The entries of asked nodes (bucket, node); those that only wait as replacements are not found."""
+    return asked.select("bucket", "node").distinct().join(entries.where("kind = 'node'"), ["bucket", "node"])
+
+
+def touch(entries: DataFrame, seen: DataFrame) -> DataFrame:
+    """Nodes that answered (bucket, node, seen_at): the time is the latest, failures are forgotten, the place stays."""
+    last = seen.groupBy("bucket", "node").agg(F.max("seen_at").alias("_at"))
+    hit = F.col("_at").isNotNull() & (F.col("kind") == "node")
+    out = entries.join(last, ["bucket", "node"], "left")
+    out = out.withColumn("last_seen", F.when(hit, F.greatest("last_seen", "_at")).otherwise(F.col("last_seen"))).withColumn("failures", F.when(hit, 0).otherwise(F.col("failures")))
+    return out.select("bucket", "node", "place", "kind", "last_seen", "failures")
+
+
+def record_failures(entries: DataFrame, failed: DataFrame) -> DataFrame:
+    """Adds one to ``failures`` of a node for each row of ``failed`` (bucket, node)."""
+    more = failed.groupBy("bucket", "node").agg(F.count("*").alias("_n"))
+    n = F.when(F.col("kind") == "node", F.coalesce("_n", F.lit(0))).otherwise(0)
+    return entries.join(more, ["bucket", "node"], "left").withColumn("failures", F.col("failures") + n).select("bucket", "node", "place", "kind", "last_seen", "failures")
+
+
+def remove(entries: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the nodes of ``gone`` (bucket, node), looked up among the nodes as they stood; for each one that goes, the
+    first replacement moves in, behind the nodes that are there."""
+    marked = entries.join(gone.select("bucket", "node", F.lit(True).alias("_gone")).distinct(), ["bucket", "node"], "left")
+    goes = F.col("_gone").isNotNull() & (F.col("kind") == "node")
+    marked = marked.withColumn("_left", F.count_if(goes).over(Window.partitionBy("bucket"))).where(~goes)
+    return _promoted(marked, (F.col("kind") == "replacement") & (F.col("place") < F.col("_left")))
+
+
+def evict_stale(entries: DataFrame, as_of: Column, size: int = K, timeout: int = STALE_SECONDS) -> DataFrame:
+    """Without stale nodes; replacements are taken in order until the bucket is full: fresh ones move in, stale ones that
+    are met on the way go, those behind stay as they are."""
+    w = Window.partitionBy("bucket")
+    old, waits = stale(F.col("last_seen"), as_of, timeout), F.col("kind") == "replacement"
+    kept = entries.withColumn("_old", old).where(waits | ~F.col("_old"))
+    kept = kept.withColumn("_room", size - F.count_if(~waits).over(w))
+    before = F.count_if(waits & ~F.col("_old")).over(w.orderBy("kind", "place").rowsBetween(Window.unboundedPreceding, -1))
+    taken = waits & (before < F.col("_room"))
+    return _promoted(kept.withColumn("_taken", taken).where(~(F.col("_taken") & F.col("_old"))), F.col("_taken"))
+
+
+def _promoted(entries: DataFrame, which: Column) -> DataFrame:
+    """With chosen replacements as nodes, behind the others."""
+    moved = entries.withColumn("_was", F.col("kind")).withColumn("kind", F.when(which, "node").otherwise(F.col("kind")))
+    return _placed(moved, "_was", "place")
+
+
+def bucket_stats(entries: DataFrame, size: int = K) -> DataFrame:
+    """(bucket, nodes, replacements, is_full, stalest): ``stalest`` is the first to be asked whether it still answers."""
+    live = F.col("kind") == "node"
+    out = entries.groupBy("bucket").agg(F.count_if(live).alias("nodes"), F.count_if(~live).alias("replacements"), F.min_by("node", F.when(live, F.col("place"))).alias("stalest"))
+    return out.select("bucket", "nodes", "replacements", (F.col("nodes") >= size).alias("is_full"), "stalest")
+
+
 def lookup(target: DataFrame, known: DataFrame, neighbours: DataFrame, k: int = K, alpha: int = ALPHA) -> DataFrame:
     """(node, rank): iterative lookup of one target. Starting from ``known`` (node, id), each round asks the ``alpha`` nearest
     that have not been asked for their ``neighbours`` (node, neighbour, neighbour_id) and keeps the k nearest of all; it

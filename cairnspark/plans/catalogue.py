@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,16 @@ def plan(sql: str | None = None) -> Callable[[Plan], Plan]:
     return add
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see. Only where they are one process may none be configured."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
+        base = f"file://{tempfile.gettempdir()}/cairnspark-plans"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 # --- replica health
 
 _RUNS = f"(SELECT DISTINCT chunk, holder FROM {A.LEASES} WHERE issued_at <= {A.AS_OF} AND expires_at > {A.AS_OF})"
@@ -546,17 +558,8 @@ def sequential_access(spark, sf):
 
 
 def _drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all files; its checkpoint lies in the shared folder."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
-        base = f"file://{tempfile.gettempdir()}/cairnspark-streams"
-    name = f"stream_{uuid.uuid4().hex}"
-    return ingest.drained(df, name, mode, f"{base}/{name}")
+    """Runs a stream over all files; its checkpoint and rows lie in the shared folder."""
+    return ingest.drained(df, mode, shared_folder(spark))
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:

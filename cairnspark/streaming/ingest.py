@@ -80,11 +80,17 @@ def expiring(records: DataFrame, ttl_ms: int = RECORD_TTL_MS) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(step, "key long, event string, at long", "at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drained(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all that is there and gives the table it has made in memory; for reports and tests."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drained(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Runs a stream over all that is there and gives the table it has written below ``folder``: in complete mode the last
+    batch, in append mode all of them. A batch that is run again replaces its own files."""
+    complete, schema = mode == "complete", df.schema
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch-{0 if complete else epoch}")
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
 
 
 def upsert_into(table_path: str, keys: list[str], quality: list[str]) -> Callable[[DataFrame, int], None]:

@@ -173,7 +173,7 @@ def test_streams(spark, tmp_path):
     rows = [(1, h, 100 + h) for h in range(6)] + [(1, 0, 500), (2, 9, 1)]
     spark.createDataFrame(rows, LEASE).repartition(3).write.parquet(src)
     stream = ingest.source(spark, src, spark.read.parquet(src).schema, files=1)
-    log = ingest.drained(ingest.bounded_holders(stream, 3), "bounded", "append", f"file://{tmp_path}/c1")
+    log = ingest.drained(ingest.bounded_holders(stream, 3), "append", f"file://{tmp_path}/c1")
     last = records.merge_holders(log, bound=3)
     want = records.merge_holders(spark.createDataFrame(rows, LEASE), bound=3)
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
@@ -191,7 +191,7 @@ def test_stream_expiry(spark, tmp_path):
     for rows in [[(1, 0)], [(1, 50)], [(3, 400)], [(3, 401)]]:
         spark.createDataFrame(rows, "key long, s long").select("key", F.timestamp_seconds("s").alias("at")).coalesce(1).write.mode("append").parquet(src)
     stream = ingest.source(spark, src, spark.read.parquet(src).schema, files=1).withWatermark("at", "1 second")
-    got = {(r.key, r.event) for r in ingest.drained(ingest.expiring(stream, 100_000), "expiry", "append", f"file://{tmp_path}/c").collect()}
+    got = {(r.key, r.event) for r in ingest.drained(ingest.expiring(stream, 100_000), "append", f"file://{tmp_path}/c").collect()}
     assert {(1, "expired"), (1, "stored"), (3, "stored")} <= got and (3, "expired") not in got
 
 
@@ -237,3 +237,70 @@ def test_empty_blobs_are_read(spark):
     refs, blobs = blob.ingest(cdc.fixed_chunks(docs, "doc_id", F.col("data"), 512), docs, "doc_id", F.col("data"))
     got = {r.doc_id: bytes(r.data) for r in blob.read(refs, blob.stored_chunks(refs), "doc_id", "builtin", blobs).collect()}
     assert got == {1: b"abc", 2: b"", 3: b"x" * 1500}
+
+
+def test_bucket_maintenance_equals_a_plain_list(spark):
+    r = random.Random(3)
+    rows, gone = [], set()
+    for b in range(12):
+        nodes, spare = r.randrange(6), r.randrange(6)
+        for kind, n in (("node", nodes), ("replacement", spare)):
+            for i in range(n):
+                node = 100 * b + (50 if kind == "replacement" else 0) + i
+                rows.append((b, node, i, kind, r.choice([0, 90_000]), i))
+                if r.random() < 0.4:
+                    gone.add((b, node))
+    entries = spark.createDataFrame(rows, "bucket long, node long, place int, kind string, last_seen long, failures long")
+
+    def lists(df):
+        out = {}
+        for x in sorted(df.collect(), key=lambda x: (x.bucket, x.kind, x.place)):
+            held = out.setdefault(x.bucket, ([], []))[x.kind == "replacement"]
+            assert x.place == len(held)
+            held.append(x.node)
+        return out
+
+    start, age = lists(entries), {x[1]: x[4] for x in rows}
+    want = {}
+    for b, (nodes, spare) in start.items():
+        left = [n for n in nodes if (b, n) not in gone]
+        k = len(nodes) - len(left)
+        want[b] = (left + spare[:k], spare[k:])
+    got = lists(routing.remove(entries, spark.createDataFrame(sorted(gone), "bucket long, node long")))
+    assert got == {b: w for b, w in want.items() if w != ([], [])}
+    want = {}
+    for b, (nodes, spare) in start.items():
+        left, spare = [n for n in nodes if age[n]], list(spare)
+        while spare and len(left) < 5:
+            n = spare.pop(0)
+            if age[n]:
+                left.append(n)
+        want[b] = (left, spare)
+    got = lists(routing.evict_stale(entries, F.lit(100_000), 5, 60))
+    assert got == {b: w for b, w in want.items() if w != ([], [])}
+    touched = routing.touch(entries, entries.select("bucket", "node", F.lit(100_000).cast("long").alias("seen_at")))
+    assert {x.last_seen for x in touched.where("kind = 'node'").collect()} == {100_000}
+    assert touched.where("kind = 'node' AND failures > 0").count() == 0
+
+
+def test_broken_encodings_are_null(spark):
+    one = lambda c: spark.range(1).select(c.alias("c")).first().c
+    huge = F.lit(b"\xff" * 200)
+    for parse in (encoding.parse_node_info, encoding.parse_node_infos, encoding.parse_holders, encoding.parse_node_announcement, encoding.parse_entry_node, encoding.parse_record, encoding.parse_find_value, lambda v: encoding.parse_sequence(v, 32)):
+        assert one(parse(huge)) is None and one(parse(F.lit(b""))) is None and one(parse(F.lit(None).cast("binary"))) is None
+    body = F.struct(F.lit(b"n" * 32).alias("node_id"), F.lit(5).alias("timestamp"), F.array(F.lit("é"), F.lit("")).alias("addresses"), F.lit(7).alias("services"), F.lit(b"k" * 32).alias("public_key"), F.lit(b"s" * 64).alias("signature"))
+    back = one(encoding.parse_node_announcement(encoding.node_announcement(body)))
+    assert (bytes(back.node_id), back.timestamp, back.addresses, back.services, bytes(back.public_key), bytes(back.signature)) == (b"n" * 32, 5, ["é", ""], 7, b"k" * 32, b"s" * 64)
+
+
+def test_objects_with_missing_or_changed_chunks_are_errors(spark):
+    docs = spark.createDataFrame([(1, "a" * 1000), (2, "")], "doc_id long, text string")
+    data = F.encode("text", "UTF-8")
+    refs, blobs = blob.ingest(cdc.fixed_chunks(docs, "doc_id", data, 400), docs, "doc_id", data, "plain")
+    made = blob.dag(refs, blobs, "doc_id", "plain")
+    nodes = blob.node_rows(refs, "plain").unionByName(made.where("chunk_count > 1").select(F.col("root").alias("ref"), F.lit(1).alias("kind"), "node"))
+    roots, store, plain = made.select(F.col("doc_id").alias("object"), "root"), blob.stored_chunks(refs), lambda s, o, c: s
+    assert {x.object: bytes(x.data) for x in blob.read_objects(roots, nodes, store, plain).collect()} == {1: b"a" * 1000, 2: b""}
+    for broken in (store.limit(0), store.withColumn("stored", F.lit(b"x"))):
+        with pytest.raises(Exception, match="missing chunk|stored bytes differ"):
+            blob.read_objects(roots, nodes, broken, plain).collect()
