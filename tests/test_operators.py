@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnspark import constants as C
-from cairnspark.functions import encoding, ids
+from cairnspark.functions import encoding, ids, uri
 from cairnspark.functions.hashing import blake3, gear_table
 from cairnspark.operators import blob, cache, cdc, manifest, namespace, records, resilience, routing
+from cairnspark.repository import Repository, new_object_uri
 from cairnspark.sources import store
 from cairnspark.streaming import ingest
 
@@ -304,3 +305,28 @@ def test_objects_with_missing_or_changed_chunks_are_errors(spark):
     for broken in (store.limit(0), store.withColumn("stored", F.lit(b"x"))):
         with pytest.raises(Exception, match="missing chunk|stored bytes differ"):
             blob.read_objects(roots, nodes, broken, plain).collect()
+
+
+@pytest.mark.parametrize("profile", ["builtin", "conformant"])
+def test_repository(spark, tmp_path, profile):
+    repo = Repository(spark, f"file://{tmp_path}/repo", profile)
+    docs = spark.createDataFrame([(1, "ab" * 3000), (2, ""), (3, "ab" * 3000), (4, "short")], "k long, text string")
+    data = F.encode("text", "UTF-8")
+    for _ in range(2 if profile == "builtin" else 1):  # again changes nothing
+        put = {x.k: x for x in repo.put(docs, "k", data, cdc.SMALL).collect()}
+    assert put[1].blob_id == put[3].blob_id and put[1].size == 6000 and put[2].size == 0
+    asked = spark.createDataFrame([(put[k].blob_id,) for k in (1, 2, 4)] + [(bytearray(32),)], "blob_id binary")
+    want = {bytes(put[k].blob_id): t.encode() for k, t in ((1, "ab" * 3000), (2, ""), (4, "short"))}
+    assert {bytes(x.blob_id): bytes(x.data) for x in repo.get(asked).collect()} == want
+    info = {bytes(x.blob_id): x for x in repo.info(asked).collect()}
+    assert info[bytes(32)].size is None and info[bytes(put[4].blob_id)].chunk_count == 1 and info[bytes(put[2].blob_id)].chunk_count == 0
+    roots = {k: info[bytes(put[k].blob_id)].root for k in (1, 2, 4)}
+    rows = [(b"o" * 32, 0, roots[4]), (b"o" * 32, 1, roots[1]), (b"p" * 32, 0, roots[2])]
+    new = spark.createDataFrame([(bytearray(o), r, c) for o, r, c in rows], "object binary, revision long, content_root binary")
+    repo.publish(new.select("*", F.lit(1).cast("long").alias("created_at"), F.lit(1).cast("long").alias("modified_at"), F.lit(b"n").alias("origin"), F.lit(b"s").alias("signature")))
+    objects = new.select("object")
+    assert [x.revision for x in repo.revisions(objects.where("object = X'" + "6f" * 32 + "'")).orderBy("rank").collect()] == [1, 0]
+    assert {bytes(x.object): bytes(x.data) for x in repo.read_objects(objects).collect()} == {b"o" * 32: b"ab" * 3000, b"p" * 32: b""}
+    assert {x.name: x.rows for x in repo.status().collect()}["objects"] == 2
+    made = spark.range(1).select(uri.parse(F.lit(new_object_uri())).alias("u")).first().u
+    assert made.error is None and made.kind == "object" and len(made.id) == len(made.secret) == 32
