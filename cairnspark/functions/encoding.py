@@ -1,7 +1,8 @@
 """Canonical encoding as column expressions: little-endian integers, counts before sequences, fields in order.
 
 Everything is built from hexadecimal text, since byte functions of strings would read binary as UTF-8. Integers are
-read as two's complement of their width.
+read as two's complement of their width. Functions of arrays are interpreted, and there a value is computed again
+wherever it is named: such values are named once, or bound by ``_once``.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 
 
 def le(value: Column, width: int) -> Column:
-    """An integer in ``width`` bytes, least first."""
-    digits = F.lpad(F.hex(value.cast("bigint")), 16, "0")
-    return F.unhex(F.concat(*[F.substr(digits, F.lit(15 - 2 * i), F.lit(2)) for i in range(width)]))
+    """An integer in ``width`` bytes, least first: its digits turned, after the two of each byte have changed places."""
+    v, low = value.cast("bigint"), F.lit(0x0F0F0F0F0F0F0F0F)
+    swapped = F.shiftleft(v.bitwiseAND(low), 4).bitwiseOR(F.shiftrightunsigned(v, 4).bitwiseAND(low))
+    return F.unhex(F.rpad(F.reverse(F.hex(swapped)), 2 * width, "0"))
 
 
 def u8(v: Column) -> Column:
@@ -47,8 +49,18 @@ def text(v: Column) -> Column:
 
 
 def sequence(v: Column, item) -> Column:
-    """An array: its count, then each item as ``item`` encodes it."""
-    return F.concat(u32(F.size(v)), F.aggregate(v, F.lit(b""), lambda a, x: F.concat(a, item(x))))
+    """An array: its count, then each item as ``item`` encodes it; null if an item encodes to null."""
+    return _once(v, lambda a: F.concat(u32(F.size(a)), _joined(F.transform(a, item))))
+
+
+def _joined(parts: Column) -> Column:
+    """The bytes of an array of binaries, in time linear in them; null if one is (no digit stands for it)."""
+    return F.unhex(F.array_join(F.transform(parts, F.hex), "", "null"))
+
+
+def _twice(keys: Column) -> Column:
+    """A key comes more than once. Text is compared by hash, binaries would be compared each with each."""
+    return F.size(F.array_distinct(F.transform(keys, F.hex))) < F.size(keys)
 
 
 def option(v: Column, item) -> Column:
@@ -58,18 +70,16 @@ def option(v: Column, item) -> Column:
 def sorted_map(v: Column, key, value) -> Column:
     """A map, its entries in order of their encoded keys; keys that encode alike are an error."""
     pairs = F.sort_array(F.transform(F.map_entries(v), lambda e: F.struct(key(e["key"]).alias("k"), value(e["value"]).alias("v"))))
-    twice = F.size(F.array_distinct(F.transform(pairs, lambda p: p["k"]))) < F.size(pairs)
-    return F.when(twice, F.raise_error(F.lit("duplicate map key")).cast("binary")).otherwise(F.concat(u32(F.size(pairs)), F.aggregate(pairs, F.lit(b""), lambda a, p: F.concat(a, p["k"], p["v"]))))
+    body = lambda ps: F.when(_twice(F.transform(ps, lambda p: p["k"])), F.raise_error(F.lit("duplicate map key")).cast("binary")).otherwise(sequence(ps, lambda p: F.concat(p["k"], p["v"])))
+    return _once(pairs, body)
 
 
 def read_le(v: Column, at: Column | int, width: int) -> Column:
     """The unsigned integer at a byte offset, as bigint; null where the bytes run out (8 bytes wrap to signed)."""
     at = F.lit(at) if isinstance(at, int) else at
-    digits = F.hex(F.substring(v, (at + 1).try_cast("int"), F.lit(width)))
-    turned = F.concat(*[F.substr(digits, F.lit(2 * i + 1), F.lit(2)) for i in reversed(range(width))])
-    whole = F.conv(turned, 16, 10).cast("decimal(20,0)")
-    signed = F.when(whole >= F.lit(str(2**63)).cast("decimal(20,0)"), whole - F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(whole) if width == 8 else whole
-    return F.when(F.octet_length(v) >= at + width, signed.cast("bigint"))
+    # a character for each byte, so that they can be turned
+    turned = F.encode(F.reverse(F.decode(F.substring(v, (at + 1).try_cast("int"), F.lit(width)), "ISO-8859-1")), "ISO-8859-1")
+    return F.when(F.octet_length(v) >= at + width, F.conv(F.hex(turned), 16, -10).cast("bigint"))
 
 
 # Composite records, each from a struct column with the named fields.
@@ -130,8 +140,8 @@ def chunk_locator(chunk_id: Column, ciphertext_hash: Column) -> Column:
 def holders(leases: Column) -> Column:
     """A holder set from an array of leases: in order of their holders; a holder that comes twice is an error."""
     pairs = F.sort_array(F.transform(leases, lambda x: F.struct(fixed(x["body"]["holder"], 32).alias("k"), lease(x).alias("v"))))
-    twice = F.size(F.array_distinct(F.transform(pairs, lambda p: p["k"]))) < F.size(pairs)
-    return F.when(twice, F.raise_error(F.lit("a holder comes twice")).cast("binary")).otherwise(sequence(pairs, lambda p: F.concat(p["k"], p["v"])))
+    body = lambda ps: F.when(_twice(F.transform(ps, lambda p: p["k"])), F.raise_error(F.lit("a holder comes twice")).cast("binary")).otherwise(sequence(ps, lambda p: F.concat(p["k"], p["v"])))
+    return _once(pairs, body)
 
 
 def record_body(tag: Column, body: Column) -> Column:
@@ -209,9 +219,12 @@ def parse_manifest_body(v: Column) -> Column:
     return F.when(read_le(v, 0, 4) == 1, _whole(v, 156, value))
 
 
+def _lease_body(v: Column) -> Column:
+    return F.struct(_part(v, 0, 32).alias("chunk_id"), _part(v, 32, 32).alias("ciphertext_hash"), parse_commitment(v, 64).alias("commitment"), _part(v, 112, 32).alias("holder"), _part(v, 144, 32).alias("issuer"), read_le(v, 176, 8).alias("issued_at"), read_le(v, 184, 8).alias("expires_at"))
+
+
 def parse_lease_body(v: Column) -> Column:
-    value = F.struct(_part(v, 0, 32).alias("chunk_id"), _part(v, 32, 32).alias("ciphertext_hash"), parse_commitment(v, 64).alias("commitment"), _part(v, 112, 32).alias("holder"), _part(v, 144, 32).alias("issuer"), read_le(v, 176, 8).alias("issued_at"), read_le(v, 184, 8).alias("expires_at"))
-    return _whole(v, 192, value)
+    return _whole(v, 192, _lease_body(v))
 
 
 def parse_blob_metadata(v: Column) -> Column:
@@ -296,19 +309,17 @@ _LEASE, _HOLDER = 320, 352
 def parse_lease(v: Column, at: Column | int = 0) -> Column:
     at = F.lit(at) if isinstance(at, int) else at
     part = lambda a, n: F.substring(v, (at + a + 1).try_cast("int"), F.lit(n))
-    return _once(part(0, _LEASE), lambda x: F.when(F.octet_length(x) == _LEASE, F.struct(parse_lease_body(F.substring(x, 1, 192)).alias("body"), F.substring(x, 193, 64).alias("issuer_signature"), F.substring(x, 257, 64).alias("holder_signature"))))
+    return _once(part(0, _LEASE), lambda x: F.when(F.octet_length(x) == _LEASE, F.struct(_lease_body(x).alias("body"), F.substring(x, 193, 64).alias("issuer_signature"), F.substring(x, 257, 64).alias("holder_signature"))))
 
 
 def parse_holders(v: Column) -> Column:
     """array<struct(holder, lease)> of an encoded holder set; null unless holders ascend strictly and no byte is left."""
-    n = read_le(v, 0, 4)
-    items = F.transform(_times(v, F.lit(0).cast("bigint"), _HOLDER), lambda i: F.struct(F.substring(v, (5 + (i - 1) * _HOLDER).try_cast("int"), F.lit(32)).alias("holder"), parse_lease(v, 36 + (i - 1) * _HOLDER).alias("lease")))
-
-    def checked(x: Column) -> Column:
-        keys = F.transform(x, lambda h: h["holder"])
-        return F.when(keys == F.array_sort(F.array_distinct(keys)), x)
-
-    return F.when(F.octet_length(v) == 4 + n * _HOLDER, _once(items, checked))
+    each = lambda x, f: F.transform(_times(x, F.lit(0).cast("bigint"), _HOLDER), f)
+    holder = lambda x, i: F.substring(x, (5 + (i - 1) * _HOLDER).try_cast("int"), F.lit(32))
+    ascend = lambda keys: keys == F.sort_array(F.array_distinct(keys))
+    items = lambda x: each(x, lambda i: F.struct(holder(x, i).alias("holder"), parse_lease(x, 36 + (i - 1) * _HOLDER).alias("lease")))
+    # leases are read once the holders are in order
+    return _once(v, lambda x: F.when((F.octet_length(x) == 4 + read_le(x, 0, 4) * _HOLDER) & _once(each(x, lambda i: F.hex(holder(x, i))), ascend), items(x)))
 
 
 def parse_record(v: Column) -> Column:

@@ -180,9 +180,12 @@ _LEASE_HEX = f"c || c || c || {_le_hex('1000', 8)} || {_le_hex('1000', 4)} || '0
 @plan(f"""SELECT chunk, sha256(unhex({_le_hex('count(*)', 4)} || string_agg(h || {_LEASE_HEX}, '' ORDER BY h))) AS encoded, CAST(count(*) AS INTEGER) AS holders, min(h) AS first_holder, max(expires_at) AS last_expiry, count(*) > 1 AS turned_is_null FROM {_BEST} GROUP BY chunk""")
 def holders_codec(spark, sf):
     one = A.leases(spark, sf).groupBy("chunk", "holder").agg(F.max("issued_at").alias("issued_at"), F.max("expires_at").alias("expires_at"))
-    c, h = A.node_id(F.col("chunk")), A.node_id(F.col("holder"))
-    lease = F.struct(_lease_body(c, h, F.col("issued_at"), F.col("expires_at")).alias("body"), F.concat(h, c).alias("issuer_signature"), F.concat(c, h).alias("holder_signature"))
-    raw = one.groupBy("chunk").agg(F.collect_list(lease).alias("l")).select("chunk", encoding.holders(F.col("l")).alias("raw"))
+    # keys and times are gathered, and leases made of them afterwards, so that these are not shuffled
+    held = one.groupBy("chunk").agg(F.collect_list(F.struct("holder", "issued_at", "expires_at")).alias("l")).withColumn("c", A.node_id(F.col("chunk")))
+    c = F.col("c")
+    named = F.transform("l", lambda x: F.struct(A.node_id(x["holder"]).alias("h"), x["issued_at"].alias("issued_at"), x["expires_at"].alias("expires_at")))
+    lease = lambda x: F.struct(_lease_body(c, x["h"], x["issued_at"], x["expires_at"]).alias("body"), F.concat(x["h"], c).alias("issuer_signature"), F.concat(c, x["h"]).alias("holder_signature"))
+    raw = held.select("chunk", encoding.holders(F.transform(named, lease)).alias("raw"))
     # the last entry put first breaks the order
     n = F.octet_length("raw")
     turned = F.concat(F.substring(F.col("raw"), 1, 4), F.substring(F.col("raw"), n - 351, F.lit(352)), F.substring(F.col("raw"), F.lit(5), n - 356))

@@ -123,3 +123,28 @@ def test_uris(spark):
 def test_sha256_identity(spark):
     v = os.urandom(100)
     assert bytes(one(spark, ids.sha256_id(F.lit(v)).alias("h")).h) == hashlib.sha256(v).digest()
+
+
+def test_arrays_are_encoded_in_linear_time_and_integers_in_few_steps(spark):
+    """A long holder set was copied for each of its leases, and a parser named its input again in every step."""
+    n = 20_000
+    part = lambda x: F.sha2(x.cast("string").cast("binary"), 256)
+    ids = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.unhex(part(i)))
+    got = spark.range(1).select(F.sha2(encoding.sequence(ids, lambda x: F.concat(x, x, x, x, x, x, x, x, x, x)), 256).alias("h")).first()["h"]
+    want = n.to_bytes(4, "little") + b"".join(hashlib.sha256(str(i).encode()).digest() * 10 for i in range(1, n + 1))
+    assert got == hashlib.sha256(want).hexdigest()
+    assert str(encoding.read_le(F.col("v"), 0, 8)._jc).count("substring") == 1
+    assert str(encoding.parse_holders(F.concat("v", "w"))._jc).count("concat") == 1
+
+
+def test_integers_at_the_ends_of_their_ranges(spark):
+    values = [0, 1, 5, 0x50, 255, 256, 2**31, 2**32 - 1, 2**63 - 1, -1, -(2**63), 0x0123456789ABCDEF]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v long")
+    for width in (1, 2, 4, 8):
+        raw = df.select("v", encoding.le(F.col("v"), width).alias("e"))
+        for r in raw.select("v", "e", encoding.read_le(F.concat(F.lit(b"\xff"), F.col("e")), 1, width).alias("back"), encoding.read_le(F.col("e"), 1, width).alias("short")).collect():
+            cut = None if r.v is None else (r.v % 2**64 % 2 ** (8 * width)).to_bytes(width, "little")
+            assert (None if r.e is None else bytes(r.e)) == cut and r.short is None
+            assert r.back == (None if r.v is None else int.from_bytes(cut, "little", signed=width == 8))
+    none = spark.range(1).select(encoding.sequence(F.array(F.lit(b"a"), F.lit(None).cast("binary")), lambda x: x).alias("x"), encoding.sequence(F.array().cast("array<binary>"), lambda x: x).alias("e")).first()
+    assert none.x is None and bytes(none.e) == bytes(4)
