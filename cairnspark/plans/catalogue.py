@@ -531,7 +531,8 @@ def message_kinds(spark, sf):
 def message_envelopes(spark, sf):
     e = A.table(spark, sf, "events")
     sent = messages.envelope(F.col("event_id"), A.node_id(F.col("user_id")), F.col("event_id") % 23, F.encode("props", "UTF-8"))
-    return e.select("event_id", messages.opened(sent).alias("m")).select("event_id", "m.request_id", "m.tag", ids.to_hex(F.col("m.sender")).alias("sender"), F.decode("m.payload", "UTF-8").alias("payload"))
+    raw = e.select("event_id", sent.alias("raw"))  # made once, not wherever it is read
+    return raw.select("event_id", messages.opened(F.col("raw")).alias("m")).select("event_id", "m.request_id", "m.tag", ids.to_hex(F.col("m.sender")).alias("sender"), F.decode("m.payload", "UTF-8").alias("payload"))
 
 
 @plan(f"SELECT connection, coalesce(arg_max(event, (ts, event)) FILTER (event IN ('Connected', 'Disconnected')), 'Connecting') AS state, count(*) FILTER (event = 'sent') AS sent, count(*) FILTER (event = 'received') AS received, coalesce(sum(bytes) FILTER (event = 'sent'), 0)::BIGINT AS bytes_sent, coalesce(sum(bytes) FILTER (event = 'received'), 0)::BIGINT AS bytes_received, {A.EVENTS_AS_OF} - min(ts) AS duration_ms, {A.EVENTS_AS_OF} - max(ts) AS idle_ms FROM {A.CONNECTION_LOG} GROUP BY connection")

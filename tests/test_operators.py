@@ -330,3 +330,11 @@ def test_repository(spark, tmp_path, profile):
     assert {x.name: x.rows for x in repo.status().collect()}["objects"] == 2
     made = spark.range(1).select(uri.parse(F.lit(new_object_uri())).alias("u")).first().u
     assert made.error is None and made.kind == "object" and len(made.id) == len(made.secret) == 32
+
+
+def test_an_envelope_is_made_once_and_then_read(spark):
+    """Each field that was read made the whole message again, its sender's hash with it."""
+    from cairnspark.plans import QUERIES
+
+    plan = QUERIES["message_envelopes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
