@@ -8,16 +8,18 @@ chunk_count).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BLOB_KEY, CHUNK_KEY, CHUNK_NONCE, EMPTY_DAG_REF, HASH, TAG
 from ..functions import crypto
 from ..functions.encoding import internal_node, leaf_node, parse_node
-from ..functions.hashing import blake3
+from ..functions.hashing import blake3, blake3_many
 from ..functions.ids import sha256_id
 
 
@@ -27,18 +29,97 @@ class Profile:
     #: (plaintext, blob id, chunk id) to the stored form, and back (null if it does not open)
     seal: Callable[[Column, Column, Column], Column]
     open: Callable[[Column, Column, Column], Column]
+    #: Both with all their hashes in one step, where these are UDFs: each UDF that waits for another has a worker of its own.
+    #: (plaintext, blob id) to struct(chunk_id, stored, ciphertext_hash)
+    sealing: Callable[[Column, Column], Column] | None = None
+    #: (stored form, blob id, chunk id, ciphertext hash) to struct(plain, fault)
+    opening: Callable[[Column, Column, Column, Column], Column] | None = None
+
+
+#: Bytes of the rows of a batch that are worked on at once.
+_AT_ONCE = 4 << 20
+
+
+def _parts(*columns: pa.Array) -> Iterator[list[tuple]]:
+    """The rows of a batch, in parts of bounded size by their first column."""
+    lo, total = 0, 0
+    for i, n in enumerate(pa.compute.binary_length(columns[0]).fill_null(0).to_pylist()):
+        if total and total + n > _AT_ONCE:
+            yield list(zip(*[c.slice(lo, i - lo).to_pylist() for c in columns], strict=True))
+            lo, total = i, 0
+        total += n
+    if lo < len(columns[0]):
+        yield list(zip(*[c.slice(lo).to_pylist() for c in columns], strict=True))
+
+
+def _keyed(rows: list[tuple]) -> list[tuple | None]:
+    """Key, nonce and aad of rows (blob id, chunk id); null if one is."""
+    base = {b: crypto.blob_key(b) for b, _ in rows if b is not None}
+    return [None if b is None or c is None else (*crypto.chunk_keys(base[b], c), b + c) for b, c in rows]
+
+
+def _hashed(values: list[bytes | None]) -> list[bytes | None]:
+    some = iter(blake3_many([v for v in values if v is not None]))
+    return [None if v is None else next(some) for v in values]
+
+
+def _seal_rows(data: list[bytes | None], blobs: list[bytes | None], chunks: list[bytes | None]) -> list[bytes | None]:
+    keys = _keyed(list(zip(blobs, chunks, strict=True)))
+    made = crypto._whole_batch([None if k is None or d is None else (k[0], k[1], d, k[2]) for k, d in zip(keys, data, strict=True)], False)
+    return [None if m is None else k[1] + m for k, m in zip(keys, made, strict=True)]
+
+
+def _open_rows(stored: list[bytes | None], blobs: list[bytes | None], chunks: list[bytes | None]) -> list[bytes | None]:
+    keys = _keyed(list(zip(blobs, chunks, strict=True)))
+    whole = [k is not None and s is not None and len(s) >= 24 for k, s in zip(keys, stored, strict=True)]
+    return crypto._whole_batch([(k[0], s[:24], s[24:], k[2]) if w else None for w, k, s in zip(whole, keys, stored, strict=True)], True)
 
 
 def _sealed(p: Column, blob: Column, chunk: Column) -> Column:
-    base = crypto.derived(blob, F.lit(b""), BLOB_KEY, 32)
-    nonce = crypto.derived(base, chunk, CHUNK_NONCE, 24)
-    return F.concat(nonce, crypto.encrypted(crypto.derived(base, chunk, CHUNK_KEY, 32), nonce, p, crypto.chunk_aad(blob, chunk)))
+    def run(p: pa.Array, blob: pa.Array, chunk: pa.Array) -> pa.Array:
+        return pa.array([x for part in _parts(p, blob, chunk) for x in _seal_rows(*map(list, zip(*part, strict=True)))], pa.binary())
+
+    return F.arrow_udf(lambda p, blob, chunk: run(p, blob, chunk), "binary")(p, blob, chunk)
 
 
 def _opened(s: Column, blob: Column, chunk: Column) -> Column:
-    base = crypto.derived(blob, F.lit(b""), BLOB_KEY, 32)
-    rest = F.substring(s, F.lit(25), F.octet_length(s))
-    return crypto.decrypted(crypto.derived(base, chunk, CHUNK_KEY, 32), F.substring(s, 1, 24), rest, crypto.chunk_aad(blob, chunk))
+    def run(s: pa.Array, blob: pa.Array, chunk: pa.Array) -> pa.Array:
+        return pa.array([x for part in _parts(s, blob, chunk) for x in _open_rows(*map(list, zip(*part, strict=True)))], pa.binary())
+
+    return F.arrow_udf(lambda s, blob, chunk: run(s, blob, chunk), "binary")(s, blob, chunk)
+
+
+def _sealing(p: Column, blob: Column) -> Column:
+    types = pa.struct([("chunk_id", pa.binary()), ("stored", pa.binary()), ("ciphertext_hash", pa.binary())])
+
+    def run(p: pa.Array, blob: pa.Array) -> pa.Array:
+        out = []
+        for part in _parts(p, blob):
+            data, blobs = map(list, zip(*part, strict=True))
+            chunks = _hashed(data)
+            stored = _seal_rows(data, blobs, chunks)
+            out.append(pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in (chunks, stored, _hashed(stored))], fields=list(types)))
+        return pa.concat_arrays(out) if out else pa.array([], types)
+
+    return F.arrow_udf(lambda p, blob: run(p, blob), "chunk_id binary, stored binary, ciphertext_hash binary")(p, blob)
+
+
+def _opening(s: Column, blob: Column, chunk: Column, hashed: Column) -> Column:
+    types = pa.struct([("plain", pa.binary()), ("fault", pa.string())])
+
+    def fault(s: bytes | None, same: bool, plain: bytes | None, fits: bool) -> str | None:
+        return "missing chunk" if s is None else "stored bytes differ" if not same else "cannot be opened" if plain is None else None if fits else "content differs"
+
+    def run(s: pa.Array, blob: pa.Array, chunk: pa.Array, hashed: pa.Array) -> pa.Array:
+        out = []
+        for part in _parts(s, blob, chunk, hashed):
+            stored, blobs, chunks, hashes = map(list, zip(*part, strict=True))
+            plain = _open_rows(stored, blobs, chunks)
+            faults = [fault(s, h == g, p, c == d) for s, h, g, p, c, d in zip(stored, hashes, _hashed(stored), plain, chunks, _hashed(plain), strict=True)]
+            out.append(pa.StructArray.from_arrays([pa.array(plain, pa.binary()), pa.array(faults, pa.string())], fields=list(types)))
+        return pa.concat_arrays(out) if out else pa.array([], types)
+
+    return F.arrow_udf(lambda s, blob, chunk, hashed: run(s, blob, chunk, hashed), "plain binary, fault string")(s, blob, chunk, hashed)
 
 
 def _key(blob: Column, chunk: Column) -> Column:
@@ -48,7 +129,7 @@ def _key(blob: Column, chunk: Column) -> Column:
 PROFILES = {
     "plain": Profile(sha256_id, lambda p, b, c: p, lambda s, b, c: s),
     "builtin": Profile(sha256_id, lambda p, b, c: crypto.aes_encrypted(_key(b, c), p, crypto.chunk_aad(b, c)), lambda s, b, c: crypto.aes_decrypted(_key(b, c), s, crypto.chunk_aad(b, c))),
-    "conformant": Profile(blake3, _sealed, _opened),
+    "conformant": Profile(blake3, _sealed, _opened, _sealing, _opening),
 }
 
 
@@ -56,7 +137,11 @@ def ingest(chunks: DataFrame, blobs: DataFrame, key: str, data: Column, profile:
     """(refs with ``stored``, blob ids): ``chunks`` as the chunking operators give them, ``blobs`` the whole contents."""
     p = PROFILES[profile]
     ids = blobs.select(F.col(key), p.hash(data.cast("binary")).alias("blob_id"), F.octet_length(data).cast("long").alias("blob_size"))
-    rows = chunks.join(ids, key).withColumn("chunk_id", p.hash(F.col("bytes")))
+    rows = chunks.join(ids, key)
+    if p.sealing:
+        rows = rows.withColumn("s", p.sealing(F.col("bytes"), F.col("blob_id")))
+        return rows.select(key, "blob_id", "ord", F.col("start").alias("offset"), "size", "s.chunk_id", "s.ciphertext_hash", "s.stored"), ids
+    rows = rows.withColumn("chunk_id", p.hash(F.col("bytes")))
     rows = rows.withColumn("stored", p.seal(F.col("bytes"), F.col("blob_id"), F.col("chunk_id"))).withColumn("ciphertext_hash", p.hash(F.col("stored")))
     return rows.select(key, "blob_id", "ord", F.col("start").alias("offset"), "size", "chunk_id", "ciphertext_hash", "stored"), ids
 
@@ -95,9 +180,13 @@ def read(refs: DataFrame, store: DataFrame, key: str, profile: str = "builtin",
     read: one without chunks is empty. Without it, blobs are those of ``refs``."""
     p = PROFILES[profile]
     got = refs.select(key, "blob_id", "ord", "offset", "chunk_id", "ciphertext_hash").join(store, "ciphertext_hash", "left")
-    got = got.withColumn("plain", p.open(F.col("stored"), F.col("blob_id"), F.col("chunk_id")))
-    fault = F.when(F.col("stored").isNull(), "missing chunk").when(p.hash(F.col("stored")) != F.col("ciphertext_hash"), "stored bytes differ").when(F.col("plain").isNull(), "cannot be opened").when(p.hash(F.col("plain")) != F.col("chunk_id"), "content differs")
-    got = got.withColumn("fault", fault).withColumn("plain", F.when(F.col("fault").isNotNull(), F.raise_error(F.col("fault")).cast("binary")).otherwise(F.col("plain")))
+    if p.opening:
+        got = got.withColumn("o", p.opening(F.col("stored"), F.col("blob_id"), F.col("chunk_id"), F.col("ciphertext_hash"))).select(key, "offset", "o.plain", "o.fault")
+    else:
+        got = got.withColumn("plain", p.open(F.col("stored"), F.col("blob_id"), F.col("chunk_id")))
+        fault = F.when(F.col("stored").isNull(), "missing chunk").when(p.hash(F.col("stored")) != F.col("ciphertext_hash"), "stored bytes differ").when(F.col("plain").isNull(), "cannot be opened").when(p.hash(F.col("plain")) != F.col("chunk_id"), "content differs")
+        got = got.withColumn("fault", fault)
+    got = got.withColumn("plain", F.when(F.col("fault").isNotNull(), F.raise_error(F.col("fault")).cast("binary")).otherwise(F.col("plain")))
     whole = got.groupBy(key).agg(F.expr("listagg(plain) WITHIN GROUP (ORDER BY offset)").alias("data"))
     if blobs is None:
         return whole
