@@ -166,7 +166,12 @@ def leaves(refs: DataFrame, profile: str = "builtin") -> DataFrame:
 def dag(refs: DataFrame, ids: DataFrame, key: str, profile: str = "builtin") -> DataFrame:
     """Metadata (key, blob_id, root, size, chunk_count, node): the root of no chunk is the EMPTY constant, of one its leaf,
     of more one internal node over all leaves in order (whose encoding is ``node``)."""
-    made = leaves(refs, profile).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "ref"))).alias("l"))
+    return rooted(leaves(refs, profile), ids, key, profile)
+
+
+def rooted(made: DataFrame, ids: DataFrame, key: str, profile: str = "builtin") -> DataFrame:
+    """The same from leaves (key, ord, ref) that are made already."""
+    made = made.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "ref"))).alias("l"))
     made = made.withColumn("children", F.transform("l", lambda x: x["ref"]))
     made = made.withColumn("node", F.when(F.size("children") > 1, internal_node(F.col("children"))))
     out = ids.join(made, key, "left")
@@ -203,8 +208,7 @@ def read_objects(roots: DataFrame, nodes: DataFrame, store: DataFrame, opened: C
     leaves join the stored chunks by hash, and ``opened`` (stored form, object, chunk id) gives the plain bytes. An object
     without content is empty; a missing node or chunk, or one that does not fit its id, is an error."""
     known = nodes.select("ref", parse_node(F.col("node")).alias("n")).select("ref", F.col("n.kind").alias("kind"), "n.children", "n.chunk")
-    found = walk(known.select("ref", "kind", "children"), roots.select("root").distinct()).where("kind = 0")
-    chunks = found.join(known.select("ref", "chunk"), "ref").select("root", "path", "chunk.*")
+    chunks = walk(known, roots.select("root").distinct()).where("kind = 0").select("root", "path", "chunk.*")
     got = roots.select("object", "root").join(chunks, "root").join(store, "ciphertext_hash", "left")
     got = got.withColumn("plain", opened(F.col("stored"), F.col("object"), F.col("chunk_id")))
     fault = F.when(F.col("stored").isNull(), "missing chunk").when(hashed(F.col("stored")) != F.col("ciphertext_hash"), "stored bytes differ").when(F.col("plain").isNull(), "cannot be opened").when(hashed(F.col("plain")) != F.col("chunk_id"), "content differs")
@@ -237,17 +241,19 @@ def write_range(data: Column, offset: Column, new: Column) -> Column:
 
 
 def walk(nodes: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
-    """(root, path, ref, kind): pre-order walk of trees of any shape. ``nodes``: (ref, kind, children); each level is one
-    equi-join, until no child is left. A child without a node is an error."""
+    """(root, path, ref, kind): pre-order walk of trees of any shape. ``nodes``: (ref, kind, children), other columns are kept.
+    Levels are followed through the nodes that have children, one equi-join each, until none is left; leaves, of which there
+    are far more, are joined once, with all that was met. A child without a node is an error."""
+    inner = nodes.where(F.size("children") > 0).select("ref", "children")
     level = roots.select(F.col("root"), F.col("root").alias("ref"), F.array().cast("array<int>").alias("path"))
-    out = None
+    met = level
     for _ in range(depth):
-        here = level.join(nodes, "ref", "left").withColumn("kind", F.when(F.col("kind").isNull() & (F.col("ref") != F.lit(EMPTY_DAG_REF)), F.raise_error(F.lit("missing node"))).otherwise(F.col("kind")))
-        part = here.where("kind IS NOT NULL").select("root", "path", "ref", "kind")
-        out = part if out is None else out.unionByName(part)
-        level = here.select("root", "path", F.posexplode("children").alias("n", "child")).select("root", F.col("child").alias("ref"), F.concat("path", F.array("n")).alias("path"))
-        if level.isEmpty():
-            return out
+        if level.select("ref").join(inner.select("ref"), "ref", "left_semi").isEmpty():
+            here = met.join(nodes.drop("children"), "ref", "left")
+            kind = F.when(F.col("kind").isNull() & (F.col("ref") != F.lit(EMPTY_DAG_REF)), F.raise_error(F.lit("missing node"))).otherwise(F.col("kind"))
+            return here.withColumn("kind", kind).where("kind IS NOT NULL").select("root", "path", "ref", "kind", *[c for c in nodes.columns if c not in ("ref", "kind", "children")])
+        level = level.join(inner, "ref").select("root", "path", F.posexplode("children").alias("n", "child")).select("root", F.col("child").alias("ref"), F.concat("path", F.array("n")).alias("path"))
+        met = met.unionByName(level)
     raise ValueError("the tree is deeper than the limit")
 
 

@@ -300,11 +300,16 @@ def store_manifests(spark, sf):
 @plan("SELECT doc_id // 2 AS object, arg_max(coalesce(text, ''), doc_id) AS text FROM documents GROUP BY 1")
 def object_read(spark, sf):
     refs, blobs = _ingested(spark, sf, "plain")
-    made = blob.dag(refs, blobs, "doc_id", "plain")
-    history = made.select(F.floor(F.col("doc_id") / 2).alias("object"), (F.col("doc_id") % 2).alias("revision"), "root")
-    inner = made.where("chunk_count > 1").select("root", F.lit(1).alias("kind"), "node").withColumnRenamed("root", "ref").dropDuplicates(["ref"])
-    nodes = blob.node_rows(refs, "plain").unionByName(inner)
-    got = blob.read_objects(manifest.latest(history), nodes, blob.stored_chunks(refs), lambda s, o, c: s)
+    # contents and trees are stored first, as they are read where they lie; otherwise each level would make them anew
+    at = store.Layout(shared_folder(spark))
+    blob.leaves(refs, "plain").select("doc_id", "blob_id", "ord", "ciphertext_hash", "stored", "node", "ref").write.parquet(at.path("leaves"))
+    made = spark.read.parquet(at.path("leaves"))
+    blob.rooted(made.select("doc_id", "ord", "ref"), blobs, "doc_id", "plain").write.parquet(at.metadata)
+    tops = spark.read.parquet(at.metadata)
+    history = tops.select(F.floor(F.col("doc_id") / 2).alias("object"), (F.col("doc_id") % 2).alias("revision"), "root")
+    inner = tops.where("chunk_count > 1").select(F.col("root").alias("ref"), F.lit(1).alias("kind"), "node").dropDuplicates(["ref"])
+    nodes = made.select("ref", F.lit(0).alias("kind"), "node").dropDuplicates(["ref"]).unionByName(inner)
+    got = blob.read_objects(manifest.latest(history), nodes, blob.stored_chunks(made), lambda s, o, c: s)
     return got.select("object", F.decode("data", "UTF-8").alias("text"))
 
 

@@ -357,3 +357,19 @@ def test_parts_of_a_batch_are_whole_and_bounded(monkeypatch):
     got = list(blob._parts(pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows])))
     assert [r for p in got for r in p] == rows and [len(p) for p in got] == [3, 1, 1, 3, 1]
     assert list(blob._parts(pa.array([], pa.binary()))) == []
+
+
+def test_trees_are_walked_without_their_leaves(spark):
+    """Each level joined all nodes, leaves too, and did so again to see whether it was the last."""
+    rows = [(b"r", 1, [b"a", b"l1"]), (b"a", 1, [b"l1", b"l2"]), (b"e", 1, []), (b"l1", 0, []), (b"l2", 0, []), (b"s", 0, [])]
+    nodes = spark.createDataFrame([(bytearray(r), k, [bytearray(c) for c in cs], r.decode()) for r, k, cs in rows], "ref binary, kind int, children array<binary>, name string")
+    roots = spark.createDataFrame([(bytearray(r),) for r in (b"r", b"s", b"e")], "root binary")
+    out = blob.walk(nodes, roots)
+    got = sorted((bytes(x.root).decode(), x.path, x.kind, x.name) for x in out.collect())
+    assert got == [("e", [], 1, "e"), ("r", [], 1, "r"), ("r", [0], 1, "a"), ("r", [0, 0], 0, "l1"), ("r", [0, 1], 0, "l2"), ("r", [1], 0, "l1"), ("s", [], 0, "s")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftOuter") == 1
+    with pytest.raises(Exception, match="missing node"):
+        blob.walk(nodes.where("name != 'l2'"), roots).collect()
+    with pytest.raises(ValueError, match="deeper"):
+        blob.walk(nodes, roots, 2)
