@@ -103,3 +103,33 @@ def test_parallel_error_is_lower_than_plain():
         return (((x - back) * unit).sum(1) ** 2).mean()
 
     assert parallel(4.0) < 0.7 * parallel(1.0)
+
+
+def test_rows_are_coded_once_for_all_blocks_of_queries(spark, monkeypatch):
+    """Each block of queries coded all rows again, so coding grew with the square of the rows."""
+    monkeypatch.setattr(ann, "QUERIES", 40)
+    x = np.random.default_rng(4).normal(size=(2500, 7))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found_ = ann.search(df, F.col("vec_id") % 20 == 0)
+    plan = found_._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.index("MapInArrow run") < plan.index("MapInArrow code")
+    want = brute(np.arange(len(x)), x, set(range(0, len(x), 20)), 20)
+    assert {q: [i for i, _ in v] for q, v in found(found_).items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_a_scan_is_the_sum_of_the_tables():
+    x = np.random.default_rng(5).normal(size=(300, 9)).astype(np.float32)
+    book = ann.fit(x)
+    codes = book.encode(x)
+    table = np.einsum("qsw,scw->qsc", book.parts(x[:20]), book.centres)
+    sums = sum(table[:, s][:, codes[:, s]] for s in range(codes.shape[1]))
+    assert np.allclose(ann.scan(book, x[:20], codes), sums, atol=1e-4)
+
+
+def test_few_pairs_are_reranked_one_by_one():
+    r = np.random.default_rng(9)
+    x, q = r.normal(size=(2000, 64)), r.normal(size=(50, 64))
+    exact = np.stack([(x * v).sum(1) for v in q])
+    least = np.sort(exact, axis=1)[:, -20]
+    assert (ann.near(q, x, least) >= (exact >= least[:, None])).all() and ann.near(q, x, least).sum() <= 21 * len(q)
+    assert ann.near(q, np.full((1, 64), np.nan), least).all() and ann.near(q, x, np.full(50, -np.inf)).all()
